@@ -94,3 +94,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def _word_table() -> np.ndarray:
+    """For each byte, its value inside a word (ASCII letters folded), 0 for bytes that end words."""
+    out = np.zeros(256, np.uint8)
+    for b in range(256):
+        if b >= 128 or chr(b).isalnum():
+            out[b] = ord(chr(b).lower()) if b < 128 else b
+    return out
+
+
+WORD_BYTES = _word_table()
+_BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_POWER = np.uint64(0x9FB21C651E98DF25)
+_powers = np.ones(1, np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of an odd multiplier, modulo 2**64."""
+    global _powers
+    if len(_powers) < n:
+        steps_ = np.full(max(n, 4096), _POWER, np.uint64)
+        steps_[0] = 1
+        _powers = np.cumprod(steps_, dtype=np.uint64)
+    return _powers
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Word bytes with ASCII and Latin-1 capitals folded; 0 between words."""
+    low = WORD_BYTES[data]
+    if len(low) > 1:
+        latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        low[1:][latin] += 0x20
+    return low
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of some rows, their rows, and their starts.
+
+    ``inside`` is 0 for the bytes between words; other bytes are hashed by value and place in the word.
+    """
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    is_word = inside != 0
+    begins = is_word.copy()
+    begins[1:] &= ~is_word[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    begins[first] = is_word[first]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    spans = np.diff(np.append(starts, len(data)))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
+    values = _BYTE_VALUES[inside[starts[0] :]] * powers(int(spans.max()) + 1)[place]
+    values[~is_word[starts[0] :]] = 0
+    return mix64(np.add.reduceat(values, starts - starts[0])), np.searchsorted(at, starts, "right") - 1, starts
