@@ -14,6 +14,24 @@ from ..runtime import ship
 from .shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_language
+
+    return identify_language(table(ship(spark), sf_dir, "documents"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import document_fingerprints
+
+    return document_fingerprints(table(ship(spark), sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(ship(spark), sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -39,6 +57,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality": op6_quality,
     "op8_mix_sources": op8_mix_sources,
