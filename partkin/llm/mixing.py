@@ -10,10 +10,14 @@ as its quota allows, and takes the first blocks of one more pass for what is lef
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .shared import cut
 
@@ -136,3 +140,35 @@ def mix(
     rest = F.col("shard_take") - whole * F.col("shard_words")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("upto") - F.col("size"))))
     return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+
+
+def realise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them: whole copies, and for a rest of words the text up to its last.
+
+    A document that the mix takes no word of goes, unless it has none (it takes no room). Rows
+    without a doc_id can't be matched and stay once, whole. ``n_chars``, where there is one, follows
+    the text. doc_ids are unique; copies carry the id of their document.
+    """
+
+    @arrow_udf("string")
+    def head(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        word = re.compile(WORD)
+        for texts, counts in batches:
+            out = []
+            for text, count in zip(texts.to_pylist(), counts.to_pylist(), strict=True):
+                end = 0
+                for _, found in zip(range(count), word.finditer(text), strict=False):
+                    end = found.end()
+                out.append(text[:end])
+            yield pa.array(out, pa.string())
+
+    plan = mixed.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    met = docs.join(plan, F.col("doc_id") == F.col("__id"), "left")
+    bare = F.coalesce(F.col("__size"), F.lit(0)) == 0
+    times = F.when(bare, F.lit(1)).otherwise((F.col("__taken") / F.greatest("__size", F.lit(1))).cast("long"))
+    met = met.withColumns({"__times": times.cast("int"), "__rest": F.when(bare, F.lit(0)).otherwise(F.col("__taken") % F.greatest("__size", F.lit(1)))})
+    whole = met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
+    part = met.where("__rest > 0").withColumn("text", head(F.col("text"), F.col("__rest")))
+    if "n_chars" in docs.columns:
+        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(part.select(*docs.columns))
