@@ -21,38 +21,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, mix64, partitions, utf8
+from .shared import cut, mix64, partitions, powers, utf8
 
 END = 1  # closes each document
 LENGTH = 2048
 DIMENSIONS, BITS = 4, 12
-#: Words whose ids a task keeps at most; beyond, it starts anew.
-CACHED = 400_000
+#: Words whose ids a worker keeps at most (about 20 bytes each); beyond, it starts anew.
+CACHED = 3_000_000
 _STEP_CHARS = 1 << 20
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 
-def _pattern(added: list[str], limit: int = 0x300) -> tuple[re.Pattern[str], re.Pattern[str]]:
-    """The tokenizer's own split for texts of the code points below ``limit``, and what is beyond it:
-    other code points, and the ``added`` tokens, which the tokenizer finds before it splits.
-
-    There, lower-casing and composing need no context and classes are known; U+0130 lowers to a mark
-    beyond, and control characters are spaces to some and symbols to others.
-    """
-    kinds = {c: unicodedata.category(chr(c))[0] for c in range(limit)}
-
-    def listed(kind: str) -> str:
-        return "".join(f"\\u{c:04x}" for c, k in kinds.items() if k == kind)
-
-    letters, numbers = listed("L"), listed("N")
-    split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
-    return split, re.compile("|".join([r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u02ff]", *added]))
+def _classes() -> np.ndarray:
+    """The tokenizer's classes of the code points below 2**16."""
+    out = np.full(1 << 16, _OTHER, np.uint8)
+    for c in range(1 << 16):
+        kind = unicodedata.category(chr(c))[0]
+        out[c] = _LETTER if kind == "L" else _NUMBER if kind == "N" else _SPACE if chr(c).isspace() else _OTHER
+    return out
 
 
 class Encoder:
-    """Ids of whole texts as 16- or 32-bit arrays: words are looked up, new ones encoded together.
+    """Ids of whole texts: each distinct word is encoded once, all of a step's words are looked up.
 
-    A word's ids don't depend on its neighbours once the tokenizer has split the text. Texts with
-    code points outside the range where this module's split is exact are encoded whole.
+    The tokenizer lower-cases, splits a text into words (contractions, runs of letters, single
+    numbers, runs of other symbols) and encodes each alone, marking the end of a word in its last id.
+    The same split is done here on arrays. It is exact for code points below U+0300, where classes,
+    case and composition need no context; a text with others, or with one of the tokenizer's added
+    tokens, is encoded whole by the tokenizer. Words are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,29 +58,98 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        self.split, self.beyond = _pattern(added)
-        self.known: dict[str, bytes] = {}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.type).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        lower = [None if self.beyond.search(t) else t.lower() for t in texts]
-        words = [self.split.findall(t) if t else [] for t in lower]
-        if len(self.known) > CACHED:
-            self.known = {}
-        new = list(set().union(*words).difference(self.known))
-        if new:
-            found = self.model.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, (self._packed(e.ids) for e in found), strict=True))
-        look = self.known.__getitem__
-        out = [b"".join(map(look, w)) for w in words]
-        whole = [k for k, t in enumerate(lower) if t is None]
-        if whole:
-            found = self.model.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)
-            for k, e in zip(whole, found, strict=True):
-                out[k] = self._packed(e.ids)
-        return out
+        self.beyond = re.compile("|".join([r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u02ff]", *added]))
+        self.classes = _classes()
+        self.values = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.last = np.zeros(self.model.get_vocab_size(), bool)
+        for token, k in self.model.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(1 << 16, self.type)
+        self.used = 0
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, spans and hashes of the words of a lower-cased text that ends in four spaces."""
+        u = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+        kind = self.classes[u]
+        before = np.concatenate([[np.uint8(_SPACE)], kind[:-1]])
+        begins = (kind != _SPACE) & ((kind != before) | (kind == _NUMBER))
+        mark = np.flatnonzero((u == 39) & (before != _OTHER))  # an apostrophe inside other symbols is one of them
+        if len(mark):
+            one, two = u[mark + 1], u[mark + 2]
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = np.zeros(len(mark), bool)
+            for a, b in ("re", "ve", "ll"):
+                long |= (one == ord(a)) & (two == ord(b))
+            begins[mark[short | long] + 1] = False
+            end = np.concatenate([mark[short] + 2, mark[long] + 3])
+            begins[end[kind[end] == _LETTER]] = True
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return starts, starts, np.zeros(0, np.uint64)
+        spans = np.diff(np.append(starts, len(u)))
+        place = np.arange(starts[0], len(u)) - np.repeat(starts, spans)
+        values = self.values[u[starts[0] :]] * powers(int(spans.max()) + 1)[place]
+        values[kind[starts[0] :] == _SPACE] = 0
+        return starts, spans, mix64(np.add.reduceat(values, starts - starts[0]))
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encodes words of growing hashes and adds them to those known."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.type)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):  # a vocabulary without marks
+            found = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+            ids, ends = np.array([k for f in found for k in f], self.type), np.cumsum([len(f) for f in found])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        sizes = np.diff(ends, prepend=0)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + ends - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.used += len(ids)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lower = [t.lower() for t in texts]
+        joined = "\n".join(lower) + "    "
+        starts, spans, hashes = self.words(joined)
+        order = np.argsort(hashes)
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order][1:] != hashes[order][:-1]
+        distinct, inverse = hashes[order[new]], np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        if len(self.hashes) > CACHED:
+            self.forget()
+        at = np.searchsorted(self.hashes, distinct)
+        unknown = np.ones(len(distinct), bool)
+        inside = at < len(self.hashes)
+        unknown[inside] = self.hashes[at[inside]] != distinct[inside]
+        if unknown.any():
+            where = order[new][unknown]
+            self.learn(distinct[unknown], [joined[a : a + n].rstrip(" \t\n\r") for a, n in zip(starts[where].tolist(), spans[where].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, distinct)
+        sizes = self.sizes[at][inverse]
+        ends = np.cumsum(sizes)
+        spot = np.repeat(self.starts[at][inverse] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        rows = np.cumsum([len(t) + 1 for t in lower])
+        words = np.searchsorted(starts, rows)  # words up to the end of each text
+        upto = np.concatenate([[0], ends])[words]
+        return self.ids[spot], np.diff(upto, prepend=0)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        whole = [bool(self.beyond.search(t)) for t in texts]
+        ids, sizes = self._plain([t for t, w in zip(texts, whole, strict=True) if not w])
+        if not any(whole):
+            return ids, sizes
+        found = iter(self.model.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
+        plain = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else ())
+        parts = [np.array(next(found).ids, self.type) if w else next(plain) for w in whole]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -133,11 +198,8 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def document_keys(ids: np.ndarray, sizes: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """Curve keys of documents whose ids follow one another; each point is squashed into the grid."""
-    ends = np.cumsum(sizes)
-    total = np.zeros((len(ids) + 1, DIMENSIONS))
-    np.cumsum(directions[ids], axis=0, out=total[1:])
-    sums = total[ends] - total[ends - sizes]
-    spread = sums / np.sqrt(np.maximum(sizes, 1))[:, None]
+    sums = np.add.reduceat(directions[ids], np.cumsum(sizes) - sizes, axis=0)  # no document is empty
+    spread = sums / np.sqrt(sizes)[:, None]
     return hilbert_keys(np.minimum((0.5 + np.arctan(spread / 4.0) / np.pi) * (1 << BITS), (1 << BITS) - 1))
 
 
@@ -150,12 +212,14 @@ def _tokenize(path: str) -> object:
             while lo < batch.num_rows:
                 hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + _STEP_CHARS, "right")) - 1), batch.num_rows)
                 texts = [t or "" for t in batch.column("text").slice(lo, hi - lo).to_pylist()]
-                found = [f + np.array([END], encode.type).tobytes() for f in encode(texts)]
+                ids, sizes = encode(texts)
+                ends = np.cumsum(sizes)
+                ids, sizes = np.insert(ids, ends, END), sizes + 1
                 directions = projection(encode.model.get_vocab_size()) if directions is None else directions
-                sizes = np.array([len(f) // encode.type.itemsize for f in found], np.int64)
-                keys = document_keys(np.frombuffer(b"".join(found), encode.type), sizes, directions)
+                cuts = np.concatenate([[0], np.cumsum(sizes)]) * encode.type.itemsize
+                packed = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), batch.column("doc_id").slice(lo, hi - lo), pa.array(found, pa.binary())], ["place", "doc_id", "ids"]
+                    [pa.array(document_keys(ids, sizes, directions)), batch.column("doc_id").slice(lo, hi - lo), packed], ["place", "doc_id", "ids"]
                 )
                 lo = hi
 
