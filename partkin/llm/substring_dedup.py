@@ -35,6 +35,8 @@ from .shared import cut, mix64, partitions, steps, utf8
 
 LENGTH, GRAM = 100, 24
 DIGITS = 4
+#: Text that a bucket stands for, and buckets at most: what a task holds, and what a batch is split to.
+BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 1 << 15
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ROOT = 0x9FB21C651E98DF25
 _LOW = np.uint64(0xFFFFFF)
@@ -396,8 +398,10 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
     if not gram < length <= gram + 255:
         raise ValueError("length must exceed gram, by at most 255")
     n = partitions(docs)
-    buckets = buckets or 4 * n
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if buckets is None:  # by the bytes to tell apart, so that a batch has many rows for each bucket
+        total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        buckets = max(1, min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
 
     def dealt(values: DataFrame, *order: str) -> DataFrame:
         return values.repartition(n, *order).sortWithinPartitions(*order)
