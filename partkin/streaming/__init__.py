@@ -1,0 +1 @@
+"""The data model is finite tables: nothing here streams. A streaming source can feed the same operators through foreachBatch."""
