@@ -50,7 +50,7 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.
     count = np.bincount(row, minlength=n)
     begin = np.cumsum(count) - count
     full = np.zeros(len(words), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(words))):
         full[: len(words) - k] += words[k:] * _ODD[k % len(_ODD)] ** np.uint64(1 + k // len(_ODD))
     place = np.arange(len(words)) - begin[row]
     whole = place <= count[row] - size
