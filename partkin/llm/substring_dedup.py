@@ -36,7 +36,7 @@ from .shared import cut, mix64, partitions, steps, utf8
 LENGTH, GRAM = 100, 24
 DIGITS = 4
 #: Text that a bucket stands for, and buckets at most: what a task holds, and what a batch is split to.
-BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 1 << 15
+BUCKET_BYTES, MOST_BUCKETS = 2_000_000, 1 << 15
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ROOT = 0x9FB21C651E98DF25
 _LOW = np.uint64(0xFFFFFF)
