@@ -29,7 +29,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from .shared import cut, mix64, partitions, steps, utf8
 
@@ -37,6 +36,8 @@ LENGTH, GRAM = 100, 24
 DIGITS = 4
 #: Text that a bucket stands for, and buckets at most: what a task holds, and what a batch is split to.
 BUCKET_BYTES, MOST_BUCKETS = 2_000_000, 1 << 15
+#: Text that a task holds at a time when it visits documents.
+HELD_BYTES = 1 << 23
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ROOT = 0x9FB21C651E98DF25
 _LOW = np.uint64(0xFFFFFF)
@@ -132,8 +133,8 @@ def _spread(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[part[0]]), part
 
 
-#: kinds of values: segments by anchor; runs to remove, and unsettled segments, by document; bytes by anchor
-_SEGMENTS, _RUNS, _OPEN, _BYTES = range(4)
+#: kinds of values: segments by anchor; runs to remove, and unsettled segments, by document; bytes by anchor; documents
+_SEGMENTS, _RUNS, _OPEN, _BYTES, _TEXTS = range(5)
 _COLUMNS = {
     _SEGMENTS: ("<u8", "<u8", "<i8", "<i4", "<u1", "<u1"),  # anchor, content, doc_id, start, windows, offset
     _RUNS: ("<i8", "<i4", "<i4"),  # doc_id, start, windows
@@ -247,57 +248,87 @@ def _by_doc(values: dict[int, list[bytes]], kind: int, key: int) -> dict[int, li
     return dict(zip(ids.tolist(), zip(*[np.split(c, cuts) for c in columns], strict=True), strict=True))
 
 
-def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]], list[tuple[int, str]]]]:
+def _framed(head: bytes, body: bytes) -> bytes:
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def _unframed(value: bytes) -> tuple[bytes, bytes]:
+    n = 4 + int.from_bytes(value[:4], "little")
+    return value[4:n], zstandard.ZstdDecompressor().decompress(value[n:])
+
+
+def _ship(buckets: int) -> object:
+    """Documents dealt by doc_id, those of a batch and bucket together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            missing = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            rows = []
+            for b, part in _spread(ids, buckets):
+                body = b"".join(data[x:y].tobytes() for x, y in zip(at[part].tolist(), at[part + 1].tolist(), strict=True))
+                rows.append((_TEXTS, b, _framed(pack(ids[part], missing[part].astype("<u1"), (at[part + 1] - at[part]).astype("<i8")), body)))
+            yield _batch(rows)
+
+    return run
+
+
+def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]], list[tuple[int | None, bytes]]]]:
     """Rows sorted by bucket, its values before its documents: (bucket, values by kind, some documents)."""
     now, values, docs, size = None, {}, [], 0
     for batch in batches:
-        for bucket, kind, value, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("bucket", "kind", "value", "doc_id", "text")], strict=True):
+        for bucket, kind, value in zip(*[batch.column(c).to_pylist() for c in ("bucket", "kind", "value")], strict=True):
             if bucket != now:
                 if docs:
                     yield now, values, docs
                 now, values, docs, size = bucket, {}, [], 0
-            if value is not None:
+            if kind != _TEXTS:
                 values.setdefault(kind, []).append(value)
-            else:
-                docs.append((doc_id, text))
-                size += len(text)
-                if size > 1 << 23:
-                    yield now, values, docs
-                    docs, size = [], 0
+                continue
+            head, body = _unframed(value)
+            ids, missing, sizes = unpack(head, "<i8", "<u1", "<i8")
+            ends = np.cumsum(sizes).tolist()
+            docs += [(None if m else i, body[e - n : e]) for i, m, n, e in zip(ids.tolist(), missing.tolist(), sizes.tolist(), ends, strict=True)]
+            size += len(body)
+            if size > HELD_BYTES:
+                yield now, values, docs
+                docs, size = [], 0
     if docs:
         yield now, values, docs
 
 
 def _fetch(length: int, buckets: int) -> object:
-    """Sends the bytes of the open segments, dealt by anchor."""
+    """Sends the bytes of the open segments, dealt by anchor; one value a bucket for many documents."""
+
+    def sent(found: list[list[np.ndarray]], texts: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, doc, start, windows, offset, spot = (np.concatenate(x) for x in zip(*found, strict=True))
+        body, rows = np.concatenate(texts), []
+        for b, part in _spread(anchor, buckets):
+            sizes = windows[part].astype(np.int64) + length - 1
+            at = np.repeat(spot[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            rows.append((_BYTES, b, _framed(pack(anchor[part], doc[part], start[part], windows[part], offset[part]), body[at].tobytes())))
+        return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, wanted = None, {}
+        found, texts, base = [], [], 0
         for bucket, values, docs in _visits(batches):
             if bucket != seen:
                 seen, wanted = bucket, _by_doc(values, _OPEN, 1)
-            found: list[list[np.ndarray]] = []
-            texts: list[np.ndarray] = []
-            base = 0
             for doc_id, text in docs:
                 if doc_id in wanted:
                     anchor, doc, start, windows, offset = wanted[doc_id]
-                    body = np.frombuffer(text.encode(), np.uint8)
+                    body = np.frombuffer(text, np.uint8)
                     inside = start.astype(np.int64) + windows + length - 1 <= len(body)  # of the row that has them
                     found.append([anchor[inside], doc[inside], start[inside], windows[inside], offset[inside], base + start[inside].astype(np.int64)])
                     texts.append(body)
                     base += len(body)
-            if not found:
-                continue
-            anchor, doc, start, windows, offset, spot = (np.concatenate(x) for x in zip(*found, strict=True))
-            body = np.concatenate(texts)
-            rows = []
-            for b, part in _spread(anchor, buckets):
-                sizes = windows[part].astype(np.int64) + length - 1
-                at = np.repeat(spot[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                head = pack(anchor[part], doc[part], start[part], windows[part], offset[part])
-                rows.append((_BYTES, b, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(body[at].tobytes())))
-            yield _batch(rows)
+            if base > HELD_BYTES:
+                yield sent(found, texts)
+                found, texts, base = [], [], 0
+        if found:
+            yield sent(found, texts)
 
     return run
 
@@ -331,9 +362,9 @@ def _refine(length: int, buckets: int) -> object:
         for _, _, values in _groups(batches):
             parts, bodies = [], []
             for v in values:
-                n = 4 + int.from_bytes(v[:4], "little")
-                parts.append(unpack(v[4:n], *_COLUMNS[_OPEN]))
-                bodies.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(v[n:]), np.uint8))
+                head, body = _unframed(v)
+                parts.append(unpack(head, *_COLUMNS[_OPEN]))
+                bodies.append(np.frombuffer(body, np.uint8))
             anchor, doc, start, windows, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
             sizes = windows.astype(np.int64) + length - 1
             begin = np.cumsum(sizes) - sizes
@@ -360,8 +391,7 @@ def _remove(length: int) -> object:
             if bucket != seen:
                 seen, gone = bucket, _by_doc(values, _RUNS, 0)
             out = []
-            for doc_id, text in docs:
-                body = text.encode()
+            for doc_id, body in docs:
                 removed = spans = 0
                 kept = hashlib.sha256()
                 done = 0
@@ -404,21 +434,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
         buckets = max(1, min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
 
     def dealt(values: DataFrame, *order: str) -> DataFrame:
-        return values.repartition(n, *order).sortWithinPartitions(*order)
+        return values.repartition(n, "bucket").sortWithinPartitions(*order)
 
     known = cut(dealt(docs.where(F.col("doc_id").isNotNull()).mapInArrow(_cut_up(length, gram, buckets), SCHEMA), "kind", "bucket").mapInArrow(_settle(buckets), SCHEMA))
 
-    @arrow_udf("int")
-    def bucket_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for ids in batches:
-            yield pa.array(_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), buckets).astype(np.int32))
-
-    texts = docs.withColumn("bucket", bucket_of(F.col("doc_id")))
+    texts = docs.mapInArrow(_ship(buckets), SCHEMA)
 
     def visited(values: DataFrame) -> DataFrame:
-        rows = values.select("bucket", "kind", "value", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-        both = rows.unionByName(texts.select("bucket", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("value"), "doc_id", "text"))
-        return both.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("kind").asc_nulls_last())
+        return dealt(values.unionByName(texts), "bucket", "kind")
 
     opened = visited(known.where(F.col("kind") == _OPEN)).mapInArrow(_fetch(length, buckets), SCHEMA)
     refined = dealt(opened, "kind", "bucket").mapInArrow(_refine(length, buckets), SCHEMA)
