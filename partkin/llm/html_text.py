@@ -35,7 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar\w*|"
     r"complementary|contentinfo|related|recommend\w*|share|sharing|social|cookies?\w*|consent|notice\w*|popup|modal|newsletter|"
-    r"subscri\w+|comments?|disqus|replies|respond|pagination|pager|toolbar|widget\w*|search)(?=$|[\s_-])",
+    r"subscri\w+|signup|paywall|alerts?|comment\w*|disqus|replies|respond|pagination|pager|toolbar|widget\w*|search)(?=$|[\s_-])",
     re.I,
 )
 #: Elements that end an open one of their kind, as browsers have it.
@@ -43,11 +43,19 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SPACE = re.compile(r"\s+")
 
 
+def _apart(name: str, value: str) -> bool:
+    """Whether an attribute tells that its element is hidden or no part of the article."""
+    if name in ("class", "id", "role"):
+        return bool(ASIDE_WORDS.search(value))
+    return name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", ""))
+
+
 class _Lines(HTMLParser):
     """Folds parser events into lines: [text parts, tags, link characters, inside an article]."""
 
-    def __init__(self) -> None:
+    def __init__(self, hints: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.hints = hints
         self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -73,8 +81,8 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         aside = tag in ASIDE or (tag == "header" and not self.articles)
-        if attrs and not aside and tag not in ("html", "body", "article", "main"):
-            aside = any(v and k in ("class", "id", "role") and ASIDE_WORDS.search(v) for k, v in attrs)
+        if attrs and not aside and self.hints and tag not in ("html", "body", "article", "main"):
+            aside = any(_apart(k, v or "") for k, v in attrs)
         self.open.append((tag, aside))
         self.names[tag] = self.names.get(tag, 0) + 1
         self.aside += aside
@@ -108,11 +116,17 @@ class _Lines(HTMLParser):
 
 
 def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
-    """(text, tags, link characters, inside an article) of each line that may hold main text."""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
+    """(text, tags, link characters, inside an article) of each line that may hold main text.
+
+    Where the names of classes leave nothing (a wrapper called "with-sidebar"), elements alone decide.
+    """
+    for hints in (True, False):
+        parser = _Lines(hints)
+        parser.feed(html)
+        parser.close()
+        parser.end_line()
+        if parser.lines:
+            break
     return parser.lines
 
 

@@ -531,6 +531,8 @@ line with <a href=x>a link</a>.</p><p>Third.</p><form><input value=x>Name</form>
         (PAGE, "Head&line\nFirst é! line\nSecond line with a link.\nThird."), (None, ""), ("", ""), ("<p></p>", ""), ("plain &lt;text&gt;", "plain <text>"),
         ("<article><p>cut off in a par", "cut off in a par"), ("<article><p>one</p></article><p>two</p><article>three</article>", "one\nthree"),
         ("<div><a href=1>l1</a> <a href=2>l2</a></div><div><p>" + "Prose of some length that goes on. " * 9 + "</p></div><div><a href=3>l3</a></div>", ("Prose of some length that goes on. " * 9).strip()),
+        ('<div class="page with-sidebar"><nav>m</nav><article><p>all of it</p></article></div>', "all of it"),
+        ('<article><p>seen</p><p hidden>not</p><div style="display: none">nor</div><div class="commentList">said</div></article>', "seen"),
         ("<b>" * 3000 + "deep" + "</p>" * 3000, "deep"),
     ],
 )
