@@ -28,7 +28,7 @@ LENGTH = 2048
 DIMENSIONS, BITS = 4, 12
 #: Words whose ids a worker keeps at most (about 20 bytes each); beyond, it starts anew.
 CACHED = 3_000_000
-_STEP_CHARS = 1 << 20
+_STEP_CHARS = 1 << 18
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 
