@@ -4,8 +4,8 @@ The standard library's parser is fed the page and its events are folded, in one
 line ends wherever a block element begins or ends. Each line knows its characters of text, how many
 tags it took and how many of its characters are link text; lines inside elements that never hold an
 article (menus, footers, forms, scripts, ...) are set aside as they stream by. The text-to-tag ratios
-of the rest are smoothed by a Gaussian and split by a threshold into content and other regions; a
-region of content is then completed by the short lines that lie in the same article element.
+of the rest are smoothed by a Gaussian and split by a threshold into content and other regions, on
+every page; a region of content is then completed by the lines that lie in the same article element.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ ASIDE_WORDS = re.compile(
 #: Elements that end an open one of their kind, as browsers have it.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACE = re.compile(r"\s+")
+#: Characters a tag, without links, from which a line is prose by itself.
+PROSE = 25
 
 
 def _apart(name: str, value: str) -> bool:
@@ -51,24 +53,24 @@ def _apart(name: str, value: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Folds parser events into lines: [text parts, tags, link characters, inside an article]."""
+    """Folds parser events into lines: [text parts, tags, link characters, number of the outermost article or 0]."""
 
     def __init__(self, hints: bool = True) -> None:
         super().__init__(convert_charrefs=True)
         self.hints = hints
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
         self.open: list[tuple[str, bool]] = []  # element, set aside
         self.names: dict[str, int] = {}
-        self.aside = self.links = self.articles = 0
+        self.aside = self.links = self.articles = self.article = 0
 
     def end_line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.linked, self.articles > 0))
+                self.lines.append((text, self.tags, self.linked, self.article if self.articles else 0))
             self.parts = []
         self.tags = self.linked = 0
 
@@ -87,6 +89,7 @@ class _Lines(HTMLParser):
         self.names[tag] = self.names.get(tag, 0) + 1
         self.aside += aside
         self.links += tag == "a"
+        self.article += tag == "article" and not self.articles
         self.articles += tag == "article"
 
     def handle_endtag(self, tag: str) -> None:
@@ -115,8 +118,8 @@ class _Lines(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
-    """(text, tags, link characters, inside an article) of each line that may hold main text.
+def page_lines(html: str) -> list[tuple[str, int, int, int]]:
+    """(text, tags, link characters, number of the article or 0) of each line that may hold main text.
 
     Where the names of classes leave nothing (a wrapper called "with-sidebar"), elements alone decide.
     """
@@ -130,28 +133,40 @@ def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
     return parser.lines
 
 
-def content_lines(lines: list[tuple[str, int, int, bool]], sigma: float = 1.0, share: float = 0.25) -> np.ndarray:
+def content_lines(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, share: float = 0.25) -> np.ndarray:
     """Which lines are main text.
 
-    Where the page has article elements with text, the candidates are the lines inside them and the
-    ratios only have to tell link lists from prose: an article's own headline or one-word paragraph
-    is short but stays. Elsewhere a line stays if its smoothed ratio reaches ``share`` of the mean.
+    On every page the smoothed ratios choose among all lines: one stays if it reaches ``share`` of the
+    mean and is not mostly link text. An article element that holds a chosen line is completed by its
+    other lines, but for link lists. Where articles hold at least half of what is chosen, a line
+    outside them also needs a ratio of PROSE of its own.
     """
     if not lines:
         return np.zeros(0, bool)
     size = np.array([len(t) for t, *_ in lines], float)
     tags = np.array([k for _, k, *_ in lines], float)
     linked = np.array([k for _, _, k, _ in lines], float)
-    inside = np.array([k for *_, k in lines], bool)
+    article = np.array([k for *_, k in lines], np.int64)
     ratio = np.maximum(size - linked, 0) / np.maximum(tags, 1)
     reach = int(np.ceil(3 * sigma))
     bell = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     smooth = np.convolve(ratio, bell / bell.sum())[reach : reach + len(ratio)]
-    if inside.any():
-        regions = inside & ~((linked >= 0.8 * size) & (smooth < share * ratio[inside].mean()))
-        return regions if regions.any() else inside
-    keep = (smooth >= share * ratio.mean()) & (linked < 0.8 * size)
-    return keep if keep.any() else linked < 0.8 * size
+    listed = linked >= 0.8 * size
+    keep = (smooth >= share * ratio.mean()) & ~listed
+    if not keep.any():
+        keep = ~listed
+    return with_articles(keep, article, size - linked, ratio, listed & (smooth < share * ratio.mean()))
+
+
+def with_articles(keep: np.ndarray, article: np.ndarray, size: np.ndarray, ratio: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Chosen lines, with the rest of the articles they are in and without short lines beside these."""
+    inside = article > 0
+    if not keep.any():
+        return inside
+    keep = keep | (inside & np.isin(article, article[keep]) & ~links)
+    if 2 * size[keep & inside].sum() >= size[keep].sum() and (keep & inside).any():
+        keep &= inside | (ratio >= PROSE)
+    return keep
 
 
 def main_text(html: str | None) -> str:

@@ -540,6 +540,18 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def prose(n, word="word"):
+    return (f"{word} " * n)[:n].strip()
+
+
+def test_a_teaser_article_does_not_stand_for_the_page():
+    main = [prose(300 + k, f"main{k}") for k in range(6)]
+    card = '<article class="teaser"><h3>Next</h3><p>' + prose(90, "card") + "</p></article>"
+    for page in (f"<main>{''.join(f'<p>{t}</p>' for t in main)}</main>{card}", f"{card}<div>{''.join(f'<p>{t}</p>' for t in main)}</div>"):
+        got = html_text.main_text(page).split("\n")
+        assert [t for t in got if t.startswith("main")] == main
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_main_text(pages).collect()
