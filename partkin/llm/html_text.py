@@ -38,6 +38,9 @@ ASIDE_WORDS = re.compile(
     r"subscri\w+|signup|paywall|alerts?|comment\w*|disqus|replies|respond|pagination|pager|toolbar|widget\w*|search)(?=$|[\s_-])",
     re.I,
 )
+#: Those that hold no article's text wherever they stand.
+EXPLICIT = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isements?)?|adsense|comments?|comment-?(?:list|area|section)|disqus\w*)(?=$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open one of their kind, as browsers have it.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACE = re.compile(r"\s+")
@@ -45,24 +48,39 @@ SPACE = re.compile(r"\s+")
 PROSE = 25
 
 
-def _apart(name: str, value: str) -> bool:
-    """Whether an attribute tells that its element is hidden or no part of the article."""
-    if name in ("class", "id", "role"):
-        return bool(ASIDE_WORDS.search(value))
+def _hidden(name: str, value: str) -> bool:
     return name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", ""))
 
 
+def _named(attrs: list[tuple[str, str | None]], within: bool) -> int:
+    """2 for an element whose names are EXPLICIT, 1 for other ASIDE_WORDS, else 0.
+
+    Within an article only explicit names count, and an id only as a whole: ids are anchors there.
+    """
+    found = 0
+    for name, value in attrs:
+        if value and name in ("class", "id", "role"):
+            if EXPLICIT.fullmatch(value) if within and name == "id" else EXPLICIT.search(value):
+                return 2
+            if not within and ASIDE_WORDS.search(value):
+                found = 1
+    return found
+
+
 class _Lines(HTMLParser):
     """Folds parser events into lines: [text parts, tags, link characters, number of the outermost article or 0]."""
 
-    def __init__(self, hints: bool = True) -> None:
+    def __init__(self, hints: bool = True, ignored: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.hints = hints
+        self.hints, self.ignored = hints, ignored
         self.lines: list[tuple[str, int, int, int]] = []
+        # elements with a hint by name, from 1 on: the one around each, its kind, characters without links in it and in articles
+        self.hint = self.named = 0
+        self.above, self.kind, self.prose, self.told = [0], [0], [0], [0]
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.open: list[tuple[str, bool]] = []  # element, set aside
+        self.open: list[tuple[str, bool, int]] = []  # element, set aside, hint around it
         self.names: dict[str, int] = {}
         self.aside = self.links = self.articles = self.article = 0
 
@@ -83,9 +101,16 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         aside = tag in ASIDE or (tag == "header" and not self.articles)
+        around = self.hint
         if attrs and not aside and self.hints and tag not in ("html", "body", "article", "main"):
-            aside = any(_apart(k, v or "") for k, v in attrs)
-        self.open.append((tag, aside))
+            aside = any(_hidden(k, v or "") for k, v in attrs)
+            kind = _named(attrs, self.articles > 0) if not aside and tag not in HEADINGS else 0
+            if kind:
+                self.hint = len(self.above)
+                self.named += self.hint not in self.ignored
+                for of, value in ((self.above, around), (self.kind, 3 if self.articles else kind), (self.prose, 0), (self.told, 0)):
+                    of.append(value)
+        self.open.append((tag, aside, around))
         self.names[tag] = self.names.get(tag, 0) + 1
         self.aside += aside
         self.links += tag == "a"
@@ -104,33 +129,65 @@ class _Lines(HTMLParser):
 
     def shut(self, k: int) -> None:
         """Ends the open element at depth k and all within it."""
-        for tag, aside in self.open[k:]:
+        for tag, aside, around in reversed(self.open[k:]):
             self.names[tag] -= 1
+            if self.hint != around:
+                self.named -= self.hint not in self.ignored
+                self.hint = around
             self.aside -= aside
             self.links -= tag == "a"
             self.articles -= tag == "article"
         del self.open[k:]
 
     def handle_data(self, data: str) -> None:
-        if not self.aside:
+        if self.aside:
+            return
+        size = len(data.strip())
+        if not self.links:
+            self.prose[self.hint] += size
+            if self.articles:
+                self.told[self.hint] += size
+        if not self.named:
             self.parts.append(data)
             if self.links:
-                self.linked += len(data.strip())
+                self.linked += size
+
+    def wrong_hints(self) -> frozenset[int]:
+        """Hints whose element holds half of the page's prose, or of what its articles tell.
+
+        An explicit name is wrong only if its element holds half of the prose and all articles; inside
+        an article it never is.
+        """
+        for k in range(len(self.above) - 1, 0, -1):
+            self.prose[self.above[k]] += self.prose[k]
+            self.told[self.above[k]] += self.told[k]
+        total, told, wrong = self.prose[0], self.told[0], []
+        for k, kind in enumerate(self.kind):
+            most = 0 < total <= 2 * self.prose[k]
+            if (kind == 1 and (most or 0 < told <= 2 * self.told[k])) or (kind == 2 and most and 0 < told == self.told[k]):
+                wrong.append(k)
+        return frozenset(wrong)
 
 
 def page_lines(html: str) -> list[tuple[str, int, int, int]]:
     """(text, tags, link characters, number of the article or 0) of each line that may hold main text.
 
-    Where the names of classes leave nothing (a wrapper called "with-sidebar"), elements alone decide.
+    A page with names that can't be meant so (a wrapper called "with-sidebar") is read again without
+    those; where all names leave nothing, elements alone decide.
     """
-    for hints in (True, False):
-        parser = _Lines(hints)
+
+    def read(hints: bool = True, ignored: frozenset[int] = frozenset()) -> _Lines:
+        parser = _Lines(hints, ignored)
         parser.feed(html)
         parser.close()
         parser.end_line()
-        if parser.lines:
-            break
-    return parser.lines
+        return parser
+
+    parser = read()
+    wrong = parser.wrong_hints()
+    if wrong:
+        parser = read(ignored=wrong)
+    return parser.lines or read(hints=False).lines
 
 
 def content_lines(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, share: float = 0.25) -> np.ndarray:

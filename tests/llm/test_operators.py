@@ -552,6 +552,23 @@ def test_a_teaser_article_does_not_stand_for_the_page():
         assert [t for t in got if t.startswith("main")] == main
 
 
+@pytest.mark.parametrize(
+    "page,lines",
+    [
+        ('<article><h2 id="search">Search</h2><p>%s</p><section id="related-work"><h2>Older</h2><p>%s</p></section></article>', ["Search", "Older"]),
+        ('<article><h2 id="market-share">Share</h2><p>%s</p><section id="naval-history"><p>%s</p></section></article>', ["Share"]),
+        ('<article><div class="article-header"><h1>Title</h1></div><p>%s</p><p>%s</p></article>', ["Title"]),
+        ('<div class="layout with-sidebar"><article><p>%s</p><p>%s</p></article></div><div>Company 2024</div>', []),
+        ('<div class="layout with-sidebar"><div><p>%s</p><p>%s</p></div><div class="sidebar"><p>Aside of it all</p></div></div><div><a href=x>Company</a></div>', []),
+        ('<article><p>%s</p><p>%s</p></article><div class="comments"><article>' + prose(900, "said") + "</article></div>", []),
+    ],
+)
+def test_names_that_are_not_meant_as_hints(page, lines):
+    texts = [prose(200, "first"), prose(150, "second")]
+    got = html_text.main_text(page % tuple(texts)).split("\n")
+    assert [t for t in got if t not in texts] == lines and [t for t in got if t in texts] == texts
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_main_text(pages).collect()
