@@ -193,10 +193,12 @@ def page_lines(html: str) -> list[tuple[str, int, int, int]]:
 def content_lines(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, share: float = 0.25) -> np.ndarray:
     """Which lines are main text.
 
-    On every page the smoothed ratios choose among all lines: one stays if it reaches ``share`` of the
-    mean and is not mostly link text. An article element that holds a chosen line is completed by its
-    other lines, but for link lists. Where articles hold at least half of what is chosen, a line
-    outside them also needs a ratio of PROSE of its own.
+    On every page the smoothed logarithms of the ratios choose among all lines: one stays if it reaches
+    the border between two clusters, or PROSE, and is not mostly link text; where the clusters are not
+    apart, all such lines do. What stands between chosen lines without a link list, and prose beside
+    them, is kept. An article element that holds a chosen line is completed by its other lines, but for
+    link lists. Where articles hold at least half of what is chosen, a line outside them also needs a
+    ratio of PROSE of its own.
     """
     if not lines:
         return np.zeros(0, bool)
@@ -205,14 +207,40 @@ def content_lines(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, sh
     linked = np.array([k for _, _, k, _ in lines], float)
     article = np.array([k for *_, k in lines], np.int64)
     ratio = np.maximum(size - linked, 0) / np.maximum(tags, 1)
+    scale = np.log1p(ratio)  # so that one very long paragraph sets no bar for others
     reach = int(np.ceil(3 * sigma))
     bell = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    smooth = np.convolve(ratio, bell / bell.sum())[reach : reach + len(ratio)]
+    smooth, weight = (np.convolve(x, bell)[reach : reach + len(x)] for x in (scale, np.ones(len(scale))))
+    smooth = smooth / weight  # the first and last lines have neighbours on one side only
     listed = linked >= 0.8 * size
-    keep = (smooth >= share * ratio.mean()) & ~listed
+    keep = (smooth >= min(border(smooth), np.log1p(PROSE))) & ~listed
     if not keep.any():
         keep = ~listed
-    return with_articles(keep, article, size - linked, ratio, listed & (smooth < share * ratio.mean()))
+    keep = joined(keep, ~listed, (ratio >= PROSE) & ~listed)
+    return with_articles(keep, article, size - linked, ratio, listed & (smooth < share * scale.mean()))
+
+
+def border(values: np.ndarray) -> float:
+    """Between the two clusters of least squares; -inf if their ratios are not fourfold apart."""
+    x = np.sort(values)
+    if len(x) < 2:
+        return -np.inf
+    n, total = np.arange(1, len(x)), np.cumsum(x)
+    low, high = total[:-1] / n, (total[-1] - total[:-1]) / (len(x) - n)
+    k = int(np.argmax(n * (len(x) - n) * (high - low) ** 2))
+    return (low[k] + high[k]) / 2 if high[k] - low[k] >= np.log(4) else -np.inf
+
+
+def joined(keep: np.ndarray, open_: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """Chosen lines, the runs of open lines between two of them, and prose in a row with one."""
+    place = np.arange(len(keep))
+    shut = np.cumsum(~open_)  # equal for two lines with only open ones after the first, up to the second
+    before = np.maximum.accumulate(np.where(keep, place, -1))
+    after = np.minimum.accumulate(np.where(keep, place, len(keep))[::-1])[::-1]
+    both = (before >= 0) & (after < len(keep))
+    keep = keep | (both & (shut[before] == shut[np.minimum(after, len(keep) - 1)]))
+    run = np.cumsum(~(keep | prose))  # one number for each row of chosen lines and prose
+    return keep | (prose & np.isin(run, run[keep]))
 
 
 def with_articles(keep: np.ndarray, article: np.ndarray, size: np.ndarray, ratio: np.ndarray, links: np.ndarray) -> np.ndarray:

@@ -569,6 +569,20 @@ def test_names_that_are_not_meant_as_hints(page, lines):
     assert [t for t in got if t not in texts] == lines and [t for t in got if t in texts] == texts
 
 
+@pytest.mark.parametrize("sizes", [[200] * 4 + [20_000] + [200] * 6, [60, 400, 300, 3000, 250, 60, 300, 250, 200, 150, 120], [500] * 3 + [12] * 9 + [500] * 3])
+def test_paragraphs_without_an_article_stay_whatever_their_neighbours(sizes):
+    texts = [prose(n) for n in sizes]
+    menu = "".join(f"<div><a href=/{k}>link {k}</a></div>" for k in range(8))
+    page = menu + "".join(f"<p>{t}</p>" for t in texts) + menu
+    assert html_text.main_text(page).split("\n") == texts
+
+
+def test_short_lines_far_from_prose_go():
+    texts = [prose(300) for _ in range(6)]
+    got = html_text.main_text("".join(f"<div>Menu {k}</div>" for k in range(12)) + "".join(f"<p>{t}</p>" for t in texts)).split("\n")
+    assert [t for t in got if t in texts] == texts and len(got) <= 8
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_main_text(pages).collect()
