@@ -10,7 +10,8 @@ costs about one dart a shingle plus a constant.
 Equal shingle sets are joined first. Bands of a signature are hashed to buckets; members of a bucket
 are compared by their whole signatures, large buckets block against block, and a task sends on only
 the links that connect what was not connected, so neither links nor tasks grow with the square of a
-group. Classes are the connected components of the links.
+group. Signatures only propose: a link is taken if the weighted Jaccard similarity of the two texts'
+shingles, counted exactly, reaches the border. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ SHINGLE = 5
 BANDS, ROWS = 42, 6
 COORDINATES = BANDS * ROWS
 SIMILAR = 0.8
-#: Signatures of 252 coordinates estimate a similarity of 0.8 with a deviation of 0.025; links are
-#: taken from one deviation below, to lose few.
-MARGIN = 0.025
+#: Signatures of 252 coordinates estimate a similarity of 0.8 with a deviation of 0.025; pairs are
+#: counted exactly from four deviations below.
+MARGIN = 0.1
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1000
+#: Shingles of such members, about: longer texts stand in smaller blocks.
+BLOCK_UNITS = 2_000_000
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -110,6 +113,16 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return total.view(np.int64)
 
 
+def _digest(units: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums a text that tell its units."""
+    ends = np.cumsum(weight)
+    digest = np.zeros((len(weight), 2), np.uint64)
+    for k in range(2):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(units ^ _ODD[k]), dtype=np.uint64)])
+        digest[:, k] = total[ends] - total[ends - weight]
+    return digest
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = utf8(batch.column("text"))
@@ -117,11 +130,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, own = data[at[a] : at[b]], at[a : b + 1] - at[a]
             units, row, weight = shingles(part, own)
             values = signatures(units, row, weight)
-            ends = np.cumsum(weight)
-            digest = np.zeros((b - a, 2), np.uint64)
-            for k in range(2):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(units ^ _ODD[k]), dtype=np.uint64)])
-                digest[:, k] = total[ends] - total[ends - weight]
+            digest = _digest(units, weight)
             for k in np.flatnonzero(weight == 0):  # without words only the very text is its like
                 digest[k] = np.frombuffer(hashlib.blake2b(part[own[k] : own[k + 1]].tobytes(), digest_size=16).digest(), np.uint64)
             ends = np.concatenate([[0], np.cumsum(np.where(weight > 0, BANDS, 0))]).astype(np.int32)
@@ -137,7 +146,21 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((one == many).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _links_of(ids: np.ndarray, block: np.ndarray, marks: np.ndarray, least: float) -> list[tuple[int, int]]:
+def jaccard(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """The weighted Jaccard similarity of a text's sorted units and those of others, none empty."""
+    size = np.array([len(u) for u in many])
+    out, lo, ends = np.zeros(len(many)), 0, np.cumsum(size)
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + BLOCK_UNITS, "right")))
+        body = np.concatenate(many[lo:hi])
+        spot = np.minimum(np.searchsorted(one, body), len(one) - 1)
+        both = np.add.reduceat((one[spot] == body).astype(np.int64), ends[lo:hi] - size[lo:hi] - (ends[lo] - size[lo]))
+        out[lo:hi] = both / (len(one) + size[lo:hi] - both)
+        lo = hi
+    return out
+
+
+def _links_of(ids: np.ndarray, block: np.ndarray, marks: np.ndarray, units: list[np.ndarray], similar: float, margin: float) -> list[tuple[int, int]]:
     """Links that connect what is alike among the members; between the blocks only, if there are two."""
     two = block[0] != block[-1]
     label, out = np.arange(len(ids)), []
@@ -146,7 +169,8 @@ def _links_of(ids: np.ndarray, block: np.ndarray, marks: np.ndarray, least: floa
         j = j[label[j] != label[i]]
         if two:
             j = j[block[j] != block[i]]
-        j = j[estimates(marks[i], marks[j]) >= least] if len(j) else j
+        j = j[estimates(marks[i], marks[j]) >= similar - margin] if len(j) else j
+        j = j[jaccard(units[i], [units[k] for k in j]) >= similar] if len(j) else j
         if len(j):
             new, first = np.unique(label[j], return_index=True)
             out += [(int(ids[i]), int(ids[j[f]])) for f in first]
@@ -154,12 +178,36 @@ def _links_of(ids: np.ndarray, block: np.ndarray, marks: np.ndarray, least: floa
     return out
 
 
-def _compare(least: float) -> object:
+def _units(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+    """Members whose text is the one that was sketched, once each, and their sorted units."""
+    data, at = utf8(table.column("text"))
+    digests, out = [np.zeros((0, 2), np.int64)], []
+    for a, b in steps(at, 1 << 20):
+        units, row, weight = shingles(data[at[a] : at[b]], at[a : b + 1] - at[a])
+        digests.append(_digest(units, weight).view(np.int64))
+        units = units[np.lexsort((units, row))]
+        out += np.split(units, np.cumsum(weight)[:-1])
+    digest = np.concatenate(digests)
+    own = (digest == np.stack([table.column(c).to_numpy() for c in ("d1", "d2")], 1)).all(1)
+    # rows that repeat a doc_id and text stand together
+    place = np.flatnonzero(own)
+    same = np.ones(max(0, len(place) - 1), bool)
+    for c in ("key", "p", "q", "rep", "d1", "d2"):
+        v = table.column(c).to_numpy()[place]
+        same &= v[1:] == v[:-1]
+    place = place[np.concatenate([[True], ~same])] if len(place) else place
+    return table.take(pa.array(place)), [out[k] for k in place]
+
+
+def _compare(similar: float, margin: float) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members sorted by group, and within a group by block."""
         held: list[pa.RecordBatch] = []
 
         def links(table: pa.Table) -> pa.RecordBatch:
+            table, units = _units(table)
+            if not len(units):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
             ids = table.column("rep").to_numpy()
             block = table.column("block").to_numpy()
             marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
@@ -172,10 +220,11 @@ def _compare(least: float) -> object:
             starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, len(ids)))
             pair = starts[sizes == 2]
-            fine = pair[estimates(marks[pair], marks[pair + 1]) >= least]
+            fine = pair[estimates(marks[pair], marks[pair + 1]) >= similar - margin]
+            fine = fine[[bool(jaccard(units[k], [units[k + 1]])[0] >= similar) for k in fine]] if len(fine) else fine
             out = [(int(x), int(y)) for x, y in zip(ids[fine], ids[fine + 1], strict=True)]
             for s, m in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                out += _links_of(ids[s : s + m], block[s : s + m], marks[s : s + m], least)
+                out += _links_of(ids[s : s + m], block[s : s + m], marks[s : s + m], units[s : s + m], similar, margin)
             x = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], ["a", "b"])
 
@@ -223,28 +272,33 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
     return labels.select(F.col("u").alias("id"), F.col("l").alias("class_id"))
 
 
-def near_links(reps: DataFrame, similar: float = SIMILAR, margin: float = MARGIN) -> DataFrame:
-    """Links (a, b), a < b, between different shingle sets, enough to connect all that are alike."""
-    buckets = reps.select("rep", F.explode("bands").alias("key"))
+def near_links(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, margin: float = MARGIN) -> DataFrame:
+    """Links (a, b), a < b, between different shingle sets, enough to connect all that are alike.
+
+    Members of a bucket bring their texts, to be counted; texts that share no bucket stay where they are.
+    """
+    buckets = reps.select("rep", "weight", F.explode("bands").alias("key"))
     seen = buckets.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("y")
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("units"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("y")
     )
     # buckets with the same members are compared once
-    chosen = seen.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    members = buckets.join(chosen, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    chosen = seen.where("n > 1").groupBy("n", "units", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "units")
+    members = buckets.select("rep", "key").join(chosen, "key")
+    members = members.withColumn("blocks", F.least("n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("units") / BLOCK_UNITS))).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     members = members.select("key", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("key", "rep", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    members = members.join(reps.select("rep", "signature"), "rep")
-    met = members.repartition(partitions(reps), "key", "p", "q").sortWithinPartitions("key", "p", "q", "block", "rep")
-    return met.mapInArrow(_compare(similar - margin), "a long, b long").distinct()
+    members = members.join(reps.select("rep", "d1", "d2", "signature"), "rep")
+    members = members.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    met = members.repartition(partitions(reps), "key", "p", "q").sortWithinPartitions("key", "p", "q", "block", "rep", "d1", "d2")
+    return met.mapInArrow(_compare(similar, margin), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept.
 
     A class is a connected component of documents whose shingles are alike, by a weighted Jaccard
-    similarity of ``similar`` or more as their signatures estimate it; its id is its least doc_id,
+    similarity of ``similar`` or more, counted for all that their signatures propose; its id is its least doc_id,
     and that document is kept. Documents with equal shingles are always in one class. Texts without
     words (null counts as empty) are alike only if equal. Ids are integers; rows that repeat an id
     share the class of their text; a row with a null id has a null class and stays.
@@ -254,7 +308,7 @@ def near_dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     sketch = cut(docs.where(F.col("doc_id").isNotNull()).mapInArrow(_sketch, schema))
     equal = ["d1", "d2", "weight"]
     reps = cut(sketch.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    classes = connected(near_links(reps, similar))
+    classes = connected(near_links(reps, docs, similar))
     found = reps.select(*equal, "rep", "copies").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.withColumn("class_id", F.coalesce("class_id", "rep"))
     sizes = found.groupBy("class_id").agg(F.sum("copies").alias("class_size"))

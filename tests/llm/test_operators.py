@@ -179,6 +179,20 @@ def test_near_dedup_large_bucket_in_blocks(spark, monkeypatch):
     assert {r["class_id"] for i, r in got.items() if i < 60} == {0} and all(r["class_id"] == i for i, r in got.items() if i >= 100)
 
 
+@pytest.mark.parametrize("block", [1000, 4])
+def test_near_dedup_has_a_sharp_border(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng, rows = random.Random(11), {}
+    for k in range(60):  # pairs of n shingles that share m: from 0.74 to 0.85, and 0.8 itself
+        n, m = 180, (153, 155, 157, 158, 159, 160, 161, 162, 165)[k % 9]
+        w = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        rows[2 * k], rows[2 * k + 1] = " ".join(w), " ".join(w[: m + 4] + [f"v{rng.randrange(10**9)}" for _ in range(n - m)])
+    w = [f"u{k}" for k in range(184)]  # a group about one text, whose members are not alike among themselves
+    rows |= {500 + k: " ".join(w[: 150 + 2 * k + 4] + [f"x{k}y{j}" for j in range(30 - 2 * k)]) for k in range(10)}
+    got = by_id(near_dedup.near_dedup(table(spark, [(i, t, "en", "s") for i, t in rows.items()])))
+    assert {i: r["class_id"] for i, r in got.items()} == similar_classes(rows, 0.8)
+
+
 def test_near_dedup_odd_tables(spark):
     assert near_dedup.near_dedup(empty(spark)).count() == 0
     got = near_dedup.near_dedup(table(spark, [(None, "a b", None, None), (3, "A, b!", None, None), (3, "a b", None, None), (9, "a b", None, None)])).collect()
