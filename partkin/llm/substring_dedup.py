@@ -179,6 +179,14 @@ def _equal(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.n
     return order, new
 
 
+def _later(order: np.ndarray, new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of that order stand after the first of their group, and not just in another row of its doc_id."""
+    if not len(order):
+        return new
+    first = order[new][np.cumsum(new) - 1]
+    return (doc[order] != doc[first]) | (start[order] != start[first])
+
+
 def _cut_up(length: int, gram: int, buckets: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +200,7 @@ def _cut_up(length: int, gram: int, buckets: int) -> object:
                     found[k].append(got[k].astype(t))
             anchor, content, doc, start, windows, offset = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(found, _COLUMNS[_SEGMENTS], strict=True))
             order, new = _equal(anchor, content, doc, start)
-            first, again = np.sort(order[new]), order[~new]  # in order of documents, which compresses
+            first, again = np.sort(order[new]), order[_later(order, new, doc, start)]  # in order of documents, which compresses
             rows = _sent(_SEGMENTS, 0, [anchor[first], content[first], doc[first], start[first], windows[first], offset[first]], buckets)
             yield _batch(rows + _sent(_RUNS, 0, _runs(doc[again], start[again], windows[again]), buckets))
 
@@ -222,7 +230,7 @@ def _settle(buckets: int) -> object:
             parts = [unpack(v, *_COLUMNS[_SEGMENTS]) for v in values]
             anchor, content, doc, start, windows, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, new = _equal(anchor, content, doc, start)
-            again, first = order[~new], order[new]
+            again, first = order[_later(order, new, doc, start)], order[new]
             rows = _sent(_RUNS, 0, _runs(doc[again], start[again], windows[again]), buckets)
             a = anchor[first]
             more = np.zeros(len(a), bool)
@@ -376,9 +384,9 @@ def _refine(length: int, buckets: int) -> object:
             alive, key = repeated_windows(group, begin[of] + shift, np.concatenate(bodies), length)
             d, s = doc[of[alive]], start[of[alive]].astype(np.int64) + shift[alive]
             order = np.lexsort((s, d, key))
-            later = np.zeros(len(order), bool)
-            later[1:] = key[order][1:] == key[order][:-1]
-            gone = order[later]
+            new = np.ones(len(order), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            gone = order[_later(order, new, d, s)]
             yield _batch(_sent(_RUNS, 0, _runs(d[gone], s[gone], np.ones(len(gone), np.int64)), buckets))
 
     return run
@@ -421,8 +429,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a
     document of smaller doc_id, or earlier in the same one. Strings are judged on the input, never
     cross documents, and may overlap; null counts as empty, and shorter texts lose nothing. doc_ids
-    are unique integers (a repeated doc_id with another text has undefined removals, and none of its
-    rows is lost); null ids take no part and keep their bytes. Strings are found equal by 64-bit
+    are integers; rows that repeat a doc_id and text count as one document and lose the same each (a
+    repeated doc_id with another text has undefined removals, and none of its rows is lost); null ids take no part and keep their bytes. Strings are found equal by 64-bit
     hashes of their digits. Extra columns are ignored.
     """
     if not gram < length <= gram + 255:

@@ -245,6 +245,18 @@ def test_substring_dedup_is_brute_force(spark, length, gram, buckets):
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_substring_dedup_of_repeated_rows(spark, parts):
+    rng = random.Random(12)
+    rows = {5: words(rng, 80), 7: words(rng, 90)}
+    rows |= {6: rows[5][100:350] + words(rng, 40), 8: rows[7][:200] * 2 + words(rng, 30), 9: rows[5]}
+    rows[3] = words(rng, 20) + rows[7][50:250]
+    want = removed_bytes(rows, 100)
+    got = substring_dedup.substring_dedup(table(spark, [(i, t, "en", "s") for i, t in rows.items()] * 3, parts=parts)).collect()
+    assert len(got) == 18 and want[5][1] == 0 < want[8][1]
+    assert {(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got} == set(want.items())
+
+
 def test_substring_dedup_odd_tables(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
     got = substring_dedup.substring_dedup(table(spark, [(None, "x" * 300, None, None), (5, "y" * 99, None, None)])).collect()
