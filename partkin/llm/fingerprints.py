@@ -2,7 +2,7 @@
 
 A rolling hash of the last seven bytes ends a chunk wherever it meets a condition of the block size,
 so chunk borders depend on nearby content alone and an edit changes few chunks. A fingerprint is the
-block size, one character for each chunk, and the same at twice the block size; two fingerprints are
+block size (halved until there are enough chunks), one character for each chunk, and the same at twice the block size; two fingerprints are
 compared, where block sizes allow, by the edit distance of their signatures. Borders, chunk hashes
 and edit distances (bit-parallel, for all pairs of a step at once) are array operations.
 """
@@ -70,11 +70,27 @@ def _signature(hashes: np.ndarray, row: np.ndarray, spans: np.ndarray, n: int) -
 
 
 def fingerprints(texts: list[bytes]) -> Prints:
-    """Of whole texts; equal texts have equal fingerprints, whatever stands around them."""
-    n = len(texts)
+    """Of whole texts; equal texts have equal fingerprints, whatever stands around them.
+
+    The block size follows from the length, and is halved while the signature has less than half of
+    its characters (few distinct windows may all miss the condition).
+    """
     size = np.array([len(t) for t in texts], np.int64)
     power = np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / (SMALLEST * LENGTH)))).astype(np.int64)
-    block = SMALLEST << power
+    out = _prints(texts, SMALLEST << power)
+    short = np.flatnonzero((out.one_size < LENGTH // 2) & (out.block > SMALLEST))
+    while len(short):
+        again = _prints([texts[k] for k in short], out.block[short] // 2)
+        for whole, part in zip(out, again, strict=True):
+            whole[short] = part
+        short = short[(again.one_size < LENGTH // 2) & (again.block > SMALLEST)]
+    return out
+
+
+def _prints(texts: list[bytes], block: np.ndarray) -> Prints:
+    """With given block sizes."""
+    n = len(texts)
+    size = np.array([len(t) for t in texts], np.int64)
     gap = WINDOW - 1  # so that a window never reaches into the text before
     data = np.frombuffer(b"\0" * gap + (b"\0" * gap).join(texts), np.uint8)
     wide = data.astype(np.uint32) + np.uint32(1)

@@ -443,6 +443,17 @@ def test_likeness_is_the_edit_distance():
         assert abs(g - want) < 1e-12
 
 
+def test_texts_of_few_windows_have_long_signatures():
+    rng = random.Random(13)
+    texts = [LONG, "buy now " * 900, "\n".join(["the same line of the menu"] * 400), " ".join(["one two three four five"] * 300)]
+    edited = [t[: len(t) // 2] + words(rng, 5) + t[len(t) // 2 :] for t in texts]
+    one, two = (fingerprints.fingerprints([t.encode() for t in x]) for x in (texts, edited))
+    assert ((one.one_size >= 32) | (one.block == fingerprints.SMALLEST)).all() and (one.one_size > 8).all()
+    assert (fingerprints.likeness(one, two) > 0.4).all()
+    alone = [fingerprints.fingerprints([t.encode()]).strings()[0] for t in texts]
+    assert one.strings() == alone
+
+
 def test_fingerprints_odd_tables(spark):
     assert fingerprints.document_fingerprints(empty(spark)).count() == 0
     one = fingerprints.document_fingerprints(table(spark, [(7, "abcdefgh", None, None)])).first()
