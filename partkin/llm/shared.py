@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType, NullType
 
 #: Bytes of text that one vectorised step takes at a time, so that its arrays stay near the cache.
 STEP_BYTES = 1 << 21
@@ -21,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a local one
-    is made. Files go when Spark finds the result unreachable, if it is set to clean checkpoints.
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set, a local one is made if
+    driver and executors are one process, as in tests; on a cluster that is an error. Files go when
+    Spark finds the result unreachable, if it is set to clean checkpoints.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="partkin-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -35,6 +40,15 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def integer_id(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The ids as longs; ids of another kind, which have no order to agree on, are refused."""
+    kind = docs.schema[name].dataType
+    whole = isinstance(kind, IntegralType | NullType) or (isinstance(kind, DecimalType) and kind.scale == 0)
+    if not whole:
+        raise TypeError(f"{name} must be a column of integers, not of {kind.simpleString()}")
+    return F.col(name).cast("long").alias(name)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold that no model may learn from; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

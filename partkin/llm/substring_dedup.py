@@ -7,7 +7,10 @@ the repeated windows. The passes:
 1. The first digit of a window is its anchor: the least hash among the strings of GRAM bytes within
    it, which depends on the window alone. Neighbouring windows share anchors, so a document becomes
    segments (runs of windows with one anchor), a fortieth as many as its bytes. A batch settles
-   its own equal segments; the first of each is dealt by anchor.
+   its own equal segments; the first of each is dealt by its anchor. Anchors that are too common
+   for one task are found beforehand by Misra-Gries counts: their windows are dealt by the longer
+   string around the anchor that each half of them shares, and where that is too common as well,
+   by all of their bytes.
 2. Segments of one anchor meet. Those equal in all their bytes are settled: all but the first go.
    Where all segments of an anchor are equal that is all; most anchors end here.
 3. Only anchors with different segments, where a copy begins or ends, need more digits. Their
@@ -30,17 +33,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, mix64, partitions, steps, utf8
+from .shared import cut, integer_id, mix64, partitions, steps, utf8
 
 LENGTH, GRAM = 100, 24
 DIGITS = 4
-#: Text that a bucket stands for, and buckets at most: what a task holds, and what a batch is split to.
-BUCKET_BYTES, MOST_BUCKETS = 2_000_000, 1 << 15
-#: Text that a task holds at a time when it visits documents.
-HELD_BYTES = 1 << 23
+#: Text that a bucket stands for: there are as many buckets as that asks for, whatever the size.
+BUCKET_BYTES = 2_000_000
+#: Counters of a task's Misra-Gries summary: every digit of more than N / COUNTERS of the N segments shows.
+COUNTERS = 1 << 16
+#: Segments of one digit that a bucket takes anyway; beyond, a digit of more than 4 N / COUNTERS is split.
+LEAST = 20_000
+#: Text that a task holds at a time when it visits documents, and windows that it refines at a time.
+HELD_BYTES, HELD_WINDOWS = 1 << 23, 1 << 20
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ROOT = 0x9FB21C651E98DF25
 _LOW = np.uint64(0xFFFFFF)
+_TURN = np.uint64(_ROOT)
 
 
 def _power(k: int) -> np.uint64:
@@ -62,11 +70,43 @@ def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mix64(total[: max(0, len(data) - size + 1)])
 
 
-def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, row, start in row, windows, anchor's offset) of runs of windows.
+def _strings(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of the strings of ``size`` bytes from some positions on."""
+    weights = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _power(1))]), dtype=np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(size):
+        out += _BYTE[data[starts + k]] * weights[k]
+    return mix64(out)
 
-    A run is a maximal range of consecutive windows of one row that have the same anchor; its content
-    is all bytes of its windows. ``data`` is shorter than 2**24 bytes or one row.
+
+def _has(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    spot = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return sorted_[spot] == values
+
+
+def _halves(data: np.ndarray, anchor: np.ndarray, key: np.ndarray, begin: np.ndarray, windows: np.ndarray, which: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of too common anchors cut where the anchor passes the middle of their windows.
+
+    All windows of the first part hold the ``half`` bytes before the anchor, all of the second the
+    ``half`` bytes after it; with the anchor, these are the parts' digits.
+    """
+    half = (length - gram) // 2
+    a, b, w = anchor[which], begin[which], windows[which]
+    left = np.clip(a - b - half, 0, w)  # windows in which more than half bytes stand before the anchor
+    one, two = np.flatnonzero(left > 0), np.flatnonzero(left < w)
+    keys = [mix64(_strings(data, a[one] - half, gram + half) + np.uint64(1)), mix64(_strings(data, a[two], gram + half) + np.uint64(2))]
+    rest = np.flatnonzero(~which)
+    order = np.argsort(np.concatenate([begin[rest], b[one], (b + left)[two]]), kind="stable")
+    joined = zip((anchor[rest], key[rest], begin[rest], windows[rest]), (a[one], keys[0], b[one], left[one]), (a[two], keys[1], (b + left)[two], (w - left)[two]), strict=True)
+    return tuple(np.concatenate(x)[order] for x in joined)
+
+
+def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int, common: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(digit, content hash, row, start in row, windows, anchor's offset) of runs of windows.
+
+    A run is a maximal range of consecutive windows of one row that have the same digit; its content
+    is all bytes of its windows. ``data`` is shorter than 2**24 bytes or one row. ``common`` holds, in
+    order, the anchors that are too common and the longer strings that are so.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -75,7 +115,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
         out, step = [], 1 << 22
         for lo in range(0, len(data) - length + 1, step):
             piece = data[lo : lo + step + length - 1]
-            a, c, r, s, w, o = segments(piece, np.array([0, len(piece)]), length, gram)
+            a, c, r, s, w, o = segments(piece, np.array([0, len(piece)]), length, gram, common)
             out.append((a, c, r, s + lo, w, o))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
     hashes = string_hashes(data, gram)
@@ -96,12 +136,23 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
     new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
     begin, windows, anchor = start[first], np.diff(np.append(first, len(start))), anchor[first]
+    key = hashes[anchor]
+    if common and len(common[0]) and (which := _has(common[0], key)).any():
+        anchor, key, begin, windows = _halves(data, anchor, key, begin, windows, which, length, gram)
+    single = np.zeros(len(key), bool)
+    if len(common) > 1 and len(common[1]) and (single := _has(common[1], key)).any():
+        times = np.where(single, windows, 1)
+        shift = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        anchor, key, begin, windows, single = (np.repeat(x, times) for x in (anchor, key, begin, windows, single))
+        begin, windows = begin + shift, np.where(single, 1, windows)
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), _power(1))]), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes ^ np.uint64(_ROOT)) * power[:-1], dtype=np.uint64)])
-    content = (sums[begin + windows + length - gram] - sums[begin]) * power[len(hashes) - begin]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes ^ _TURN) * power[:-1], dtype=np.uint64)])
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), np.uint64(pow(_ROOT, -1, 1 << 64)))]), dtype=np.uint64)
+    content = (sums[begin + windows + length - gram] - sums[begin]) * inverse[begin]  # the same wherever the run stands
     content = mix64(content + windows.astype(np.uint64))
+    key = np.where(single, mix64(content ^ _TURN), key)
     row = row[begin]
-    return hashes[anchor], content, row, begin - at[:-1][row], windows, anchor - begin
+    return key, content, row, begin - at[:-1][row], windows, anchor - begin
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -121,7 +172,7 @@ def unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(keys.view(np.uint64) ^ np.uint64(_ROOT)) % np.uint64(buckets)).astype(np.int64)
+    return (mix64(keys.view(np.uint64) ^ _TURN) % np.uint64(buckets)).astype(np.int64)
 
 
 def _spread(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -187,18 +238,67 @@ def _later(order: np.ndarray, new: np.ndarray, doc: np.ndarray, start: np.ndarra
     return (doc[order] != doc[first]) | (start[order] != start[first])
 
 
-def _cut_up(length: int, gram: int, buckets: int) -> object:
+def _segments_of(batch: pa.RecordBatch, length: int, gram: int, common: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    data, at = utf8(batch.column("text"))
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    found: list[list[np.ndarray]] = [[] for _ in _COLUMNS[_SEGMENTS]]
+    for a, b in steps(at):
+        got = list(segments(data[at[a] : at[b]], at[a : b + 1] - at[a], length, gram, common))
+        got[2] = ids[a:b][got[2]]
+        for k, t in enumerate(_COLUMNS[_SEGMENTS]):
+            found[k].append(got[k].astype(t))
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(found, _COLUMNS[_SEGMENTS], strict=True)]
+
+
+def summary(keys: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    """The Misra-Gries summary of weighted keys: what a count loses is the weight over the counters at most."""
+    keys, inverse = np.unique(keys, return_inverse=True)
+    counts = np.bincount(inverse, counts, len(keys)).astype(np.int64)
+    if len(keys) > counters:
+        counts -= np.partition(counts, len(counts) - counters - 1)[len(counts) - counters - 1]
+        keys, counts = keys[counts > 0], counts[counts > 0]
+    return keys, counts
+
+
+def _count(length: int, gram: int, common: tuple[np.ndarray, ...], counters: int) -> object:
+    """A task's most frequent digits, and under null how many segments it has; equal ones of a batch count once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
-            data, at = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            found = [[] for _ in range(6)]
-            for a, b in steps(at):
-                got = list(segments(data[at[a] : at[b]], at[a : b + 1] - at[a], length, gram))
-                got[2] = ids[a:b][got[2]]
-                for k, t in enumerate(_COLUMNS[_SEGMENTS]):
-                    found[k].append(got[k].astype(t))
-            anchor, content, doc, start, windows, offset = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(found, _COLUMNS[_SEGMENTS], strict=True))
+            anchor, content, *_ = _segments_of(batch, length, gram, common)
+            order = np.lexsort((content, anchor))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)
+            total += int(new.sum())
+            keys, counts = summary(np.concatenate([keys, anchor[order[new]]]), np.concatenate([counts, np.ones(int(new.sum()), np.int64)]), counters)
+        digits = pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(1, pa.int64())])
+        yield pa.RecordBatch.from_arrays([digits, pa.array(np.append(counts, total))], ["digit", "n"])
+
+    return run
+
+
+def too_common(docs: DataFrame, length: int, gram: int, counters: int, least: int) -> tuple[np.ndarray, ...]:
+    """The digits with more segments than one task should take: first anchors, then the strings around those.
+
+    The driver gets at most ``counters`` / 3 of either, since each has 3 / ``counters`` of all segments.
+    """
+    common: tuple[np.ndarray, ...] = ()
+    for _ in range(2):
+        counted = cut(docs.mapInArrow(_count(length, gram, common, counters), "digit long, n long")).groupBy("digit").agg(F.sum("n").alias("n"))
+        total = counted.where("digit IS NULL").first()
+        limit = max(least, 3 * (total["n"] if total else 0) // counters)
+        found = counted.where(F.col("digit").isNotNull() & (F.col("n") > limit)).collect()
+        common = (*common, np.sort(np.array([r["digit"] for r in found], np.int64).view(np.uint64)))
+        if not found:
+            break
+    return common
+
+
+def _cut_up(length: int, gram: int, buckets: int, common: tuple[np.ndarray, ...]) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, content, doc, start, windows, offset = _segments_of(batch, length, gram, common)
             order, new = _equal(anchor, content, doc, start)
             first, again = np.sort(order[new]), order[_later(order, new, doc, start)]  # in order of documents, which compresses
             rows = _sent(_SEGMENTS, 0, [anchor[first], content[first], doc[first], start[first], windows[first], offset[first]], buckets)
@@ -365,6 +465,39 @@ def repeated_windows(group: np.ndarray, spot: np.ndarray, body: np.ndarray, leng
     return alive, group
 
 
+def _told_apart(key: np.ndarray, spot: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
+    """The keys of sorted windows, made different where equal keys hide different bytes."""
+    views = np.lib.stride_tricks.sliding_window_view(body, length)
+    same = np.flatnonzero(key[1:] == key[:-1]) + 1
+    wrong = [k[(views[spot[k]] != views[spot[k - 1]]).any(1)] for k in np.array_split(same, len(same) // 50_000 + 1)]
+    for value in np.unique(key[np.concatenate(wrong)]):
+        rows = np.flatnonzero(key == value)
+        _, text = np.unique(views[spot[rows]], axis=0, return_inverse=True)
+        key[rows] = mix64(value + text.ravel().astype(np.uint64) * _power(1))
+    return key
+
+
+def _refined(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, offset: np.ndarray, body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of the windows that another one equals and precedes; ``body`` has the segments' bytes in a row."""
+    sizes = windows.astype(np.int64) + length - 1
+    begin = np.cumsum(sizes) - sizes
+    count = windows.astype(np.int64)
+    of = np.repeat(np.arange(len(count)), count)
+    shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    # windows can be equal only if the anchor stands at the same place in them
+    group = mix64(anchor[of] + (offset[of].astype(np.int64) - shift).astype(np.uint64) * _power(1))
+    spot = begin[of] + shift
+    alive, key = repeated_windows(group, spot, body, length)
+    d, s = doc[of[alive]], start[of[alive]].astype(np.int64) + shift[alive]
+    order = np.argsort(key, kind="stable")
+    key[order] = _told_apart(key[order], spot[alive][order], body, length)
+    order = np.lexsort((s, d, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    gone = order[_later(order, new, d, s)]
+    return d[gone], s[gone]
+
+
 def _refine(length: int, buckets: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, values in _groups(batches):
@@ -374,20 +507,23 @@ def _refine(length: int, buckets: int) -> object:
                 parts.append(unpack(head, *_COLUMNS[_OPEN]))
                 bodies.append(np.frombuffer(body, np.uint8))
             anchor, doc, start, windows, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
+            body = np.concatenate(bodies)
             sizes = windows.astype(np.int64) + length - 1
             begin = np.cumsum(sizes) - sizes
-            count = windows.astype(np.int64)
-            of = np.repeat(np.arange(len(count)), count)
-            shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            # windows can be equal only if the anchor stands at the same place in them
-            group = mix64(anchor[of] + (offset[of].astype(np.int64) - shift).astype(np.uint64) * _power(1))
-            alive, key = repeated_windows(group, begin[of] + shift, np.concatenate(bodies), length)
-            d, s = doc[of[alive]], start[of[alive]].astype(np.int64) + shift[alive]
-            order = np.lexsort((s, d, key))
-            new = np.ones(len(order), bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-            gone = order[_later(order, new, d, s)]
-            yield _batch(_sent(_RUNS, 0, _runs(d[gone], s[gone], np.ones(len(gone), np.int64)), buckets))
+            order = np.argsort(anchor, kind="stable")
+            # some anchors at a time, each whole
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(anchor[order]) != 0]))
+            upto = np.concatenate([[0], np.cumsum(windows[order].astype(np.int64))])
+            lo = 0
+            while lo < len(heads):
+                hi = max(lo + 1, int(np.searchsorted(upto[heads], upto[heads[lo]] + HELD_WINDOWS, "right")) - 1)
+                hi = len(heads) if upto[-1] <= upto[heads[lo]] + HELD_WINDOWS else hi
+                rows = order[heads[lo] : heads[hi] if hi < len(heads) else len(order)]
+                spread = np.repeat(begin[rows] - (np.cumsum(sizes[rows]) - sizes[rows]), sizes[rows]) + np.arange(int(sizes[rows].sum()))
+                d, s = _refined(anchor[rows], doc[rows], start[rows], windows[rows], offset[rows], body[spread], length)
+                if len(d):
+                    yield _batch(_sent(_RUNS, 0, _runs(d, s, np.ones(len(d), np.int64)), buckets))
+                lo = hi
 
     return run
 
@@ -423,28 +559,35 @@ def _remove(length: int) -> object:
     return run
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None, counters: int = COUNTERS, least: int = LEAST
+) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a
     document of smaller doc_id, or earlier in the same one. Strings are judged on the input, never
     cross documents, and may overlap; null counts as empty, and shorter texts lose nothing. doc_ids
-    are integers; rows that repeat a doc_id and text count as one document and lose the same each (a
-    repeated doc_id with another text has undefined removals, and none of its rows is lost); null ids take no part and keep their bytes. Strings are found equal by 64-bit
-    hashes of their digits. Extra columns are ignored.
+    are integers; rows that repeat a doc_id and text count as one document and lose the same each;
+    null ids take no part and keep their bytes. Where a doc_id has several texts, each is told from
+    the others by its bytes alone: what one of them loses, all of them may lose at the same place.
+    Segments are found equal by two 64-bit hashes, refined windows by their bytes. A digit that has
+    more than ``least`` segments and 4 / ``counters`` of all of them is split (see the module).
+    Extra columns are ignored.
     """
     if not gram < length <= gram + 255:
         raise ValueError("length must exceed gram, by at most 255")
     n = partitions(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(integer_id(docs), F.coalesce("text", F.lit("")).alias("text"))
     if buckets is None:  # by the bytes to tell apart, so that a batch has many rows for each bucket
         total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-        buckets = max(1, min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
+        buckets = max(1, -(-total // BUCKET_BYTES))
 
     def dealt(values: DataFrame, *order: str) -> DataFrame:
         return values.repartition(n, "bucket").sortWithinPartitions(*order)
 
-    known = cut(dealt(docs.where(F.col("doc_id").isNotNull()).mapInArrow(_cut_up(length, gram, buckets), SCHEMA), "kind", "bucket").mapInArrow(_settle(buckets), SCHEMA))
+    named = docs.where(F.col("doc_id").isNotNull())
+    common = too_common(named, length, gram, counters, least)
+    known = cut(dealt(named.mapInArrow(_cut_up(length, gram, buckets, common), SCHEMA), "kind", "bucket").mapInArrow(_settle(buckets), SCHEMA))
 
     texts = docs.mapInArrow(_ship(buckets), SCHEMA)
 

@@ -263,6 +263,47 @@ def test_substring_dedup_odd_tables(spark):
     assert sorted((r["n_bytes"], r["n_removed"]) for r in got) == [(99, 0), (300, 0)]
 
 
+@pytest.mark.parametrize("least", [3, 40])
+def test_substring_dedup_splits_what_is_too_common(spark, least):
+    rng = random.Random(21)
+    mark, line = words(rng, 9)[:24], words(rng, 30)[:70]  # a string of 24 bytes in every document, and one of 70
+    rows = {k: words(rng, 20) + mark + words(rng, 20) + " " + line + words(rng, 25) for k in range(60)}
+    rows |= {100 + k: words(rng, 5) + rows[k][60:400] + words(rng, 5) + mark + "é" * 60 for k in range(0, 60, 7)}
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows.items()])
+    named = docs.select("doc_id", "text")
+    anchors, strings = (*substring_dedup.too_common(named, 100, 24, 1 << 16, least), ())[:2]
+    assert len(anchors) > 0 and (least > 3 or len(strings) > 0)
+    got = by_id(substring_dedup.substring_dedup(docs, least=least))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == removed_bytes(rows, 100)
+
+
+def test_segments_are_the_same_wherever_they_stand():
+    rng = random.Random(4)
+    text, before = words(rng, 90).encode(), words(rng, 33).encode()
+    alone = substring_dedup.segments(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 100, 24)
+    both = np.frombuffer(before + text, np.uint8)
+    after = substring_dedup.segments(both, np.array([0, len(before), len(both)]), 100, 24)
+    assert sorted(zip(*[x.tolist() for x in (alone[0], alone[1], *alone[3:])])) == sorted(t for t, r in zip(zip(*[x.tolist() for x in (after[0], after[1], *after[3:])]), after[2], strict=True) if r == 1)
+
+
+def test_misra_gries_summary_keeps_what_is_frequent():
+    rng = np.random.default_rng(2)
+    keys = np.concatenate([np.full(900, 7), np.full(400, 9), rng.integers(100, 10**6, 5000)]).astype(np.uint64)
+    rng.shuffle(keys)
+    held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in np.array_split(keys, 13):
+        held, counts = substring_dedup.summary(np.concatenate([held, part]), np.concatenate([counts, np.ones(len(part), np.int64)]), 50)
+        assert len(held) <= 50
+    found = dict(zip(held.tolist(), counts.tolist(), strict=True))
+    assert 900 - len(keys) / 50 <= found[7] <= 900 and 400 - len(keys) / 50 <= found[9] <= 400
+
+
+def test_equal_hashes_of_different_bytes_are_told_apart():
+    body = np.frombuffer(b"aaaabbbbaaaabbbb", np.uint8)
+    key = substring_dedup._told_apart(np.array([5, 5, 5, 9], np.uint64), np.array([0, 4, 8, 12]), body, 4)
+    assert key[0] == key[2] != key[1] and len(set(key.tolist())) == 3
+
+
 def test_segments_of_a_long_text_cover_each_window_once():
     data = np.frombuffer(random.Random(1).randbytes(9_000_000), np.uint8)
     _, _, _, start, windows, _ = substring_dedup.segments(data, np.array([0, len(data)]), 100, 24)
