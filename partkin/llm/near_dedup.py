@@ -1,17 +1,20 @@
 """Near-duplicate classes by DartMinHash signatures and banding.
 
 A document is the weighted set of its five-word shingles, a shingle weighing as often as it occurs.
-Each unit of weight throws hashed darts at growing ranks; every dart falls on one of the signature's
-coordinates, and a coordinate keeps its earliest dart. Since the darts of a unit don't depend on the
-document, two documents agree on a coordinate with the probability of their weighted Jaccard
-similarity; and as ranks are thrown only up to a bound inverse to the document's weight, a signature
-costs about one dart a shingle plus a constant.
-
-Equal shingle sets are joined first. Bands of a signature are hashed to buckets; members of a bucket
-are compared by their whole signatures, large buckets block against block, and a task sends on only
-the links that connect what was not connected, so neither links nor tasks grow with the square of a
-group. Signatures only propose: a link is taken if the weighted Jaccard similarity of the two texts'
-shingles, counted exactly, reaches the border. Classes are the connected components of the links.
+The weight axis of a shingle is cut into regions whose areas double; each region throws hashed darts
+at growing ranks, denser with its area, and keeps those below the shingle's weight. Every dart falls
+on one of the signature's coordinates, and a coordinate keeps its earliest dart. Since the darts of a
+region don't depend on the document, two documents agree on a coordinate with the probability of
+their weighted Jaccard similarity; and as ranks are thrown only up to a bound inverse to the
+document's weight, a signature costs a constant and a few regions a shingle, whatever the weights.
+
+Equal shingle sets are joined first. Bands of a signature are hashed to buckets. A bucket is compared
+in blocks of bounded size, with a few leaders of the bucket in each block, so its work grows with its
+members; what is then left outside the bucket's largest class is compared with all of the bucket, so
+that no pair of different classes stays unseen. Signatures only propose: a link is taken if the
+weighted Jaccard similarity of the two texts' shingles, counted exactly, reaches the border, and a
+task sends on only links that connect what was not connected. Classes are the connected components
+of the links.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_rows, cut, folded, mix64, partitions, steps, utf8, word_hashes
+from .shared import binary_rows, cut, folded, integer_id, mix64, partitions, steps, utf8, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 42, 6
@@ -33,20 +36,21 @@ SIMILAR = 0.8
 #: Signatures of 252 coordinates estimate a similarity of 0.8 with a deviation of 0.025; pairs are
 #: counted exactly from four deviations below.
 MARGIN = 0.1
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1000
+#: Members of a bucket that are compared with each other at a time.
+BLOCK = 250
 #: Shingles of such members, about: longer texts stand in smaller blocks.
-BLOCK_UNITS = 2_000_000
+BLOCK_UNITS = 1_000_000
+#: Members of a bucket of several blocks, about, that stand in all of them.
+LEADERS = 16
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The units of weight of each text: their hashes, their rows in order, and units a row.
+def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different shingles of each text: hashes, rows in order, how often each occurs; and the total a row.
 
     Words are runs of letters and digits (all bytes beyond ASCII count), case folded. A text of fewer
-    words than ``size`` is one shingle; a text without words has none. The c-th occurrence of a
-    shingle is a unit of its own.
+    words than ``size`` is one shingle; a text without words has none.
     """
     n = len(at) - 1
     words, row, _ = word_hashes(data, at, folded(data))
@@ -58,47 +62,67 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.
     place = np.arange(len(words)) - begin[row]
     whole = place <= count[row] - size
     short = np.flatnonzero((count > 0) & (count < size))
-    units, of = mix64(full[whole]), row[whole]
+    found, of = mix64(full[whole]), row[whole]
     if len(short):
         masked = np.where(np.isin(row, short), words * (np.uint64(2) * place.astype(np.uint64) + np.uint64(3)), np.uint64(0))
         total = np.concatenate([[np.uint64(0)], np.cumsum(masked, dtype=np.uint64)])
         extra = mix64(total[begin[short] + count[short]] - total[begin[short]])
-        units, of = np.concatenate([units, extra]), np.concatenate([of, short])
+        found, of = np.concatenate([found, extra]), np.concatenate([of, short])
     # sorted by row and hash, so that repeats stand together
-    order = np.argsort((of.astype(np.uint64) << np.uint64(44)) | (units >> np.uint64(20)), kind="stable")
-    units, of = units[order], of[order]
-    again = np.zeros(len(units), bool)
-    again[1:] = (units[1:] == units[:-1]) & (of[1:] == of[:-1])
-    if again.any():
-        since = np.arange(len(units)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(units))))
-        units = np.where(again, mix64(units + since.astype(np.uint64) * _ODD[1]), units)
-    return units, of, np.bincount(of, minlength=n)
+    order = np.argsort((of.astype(np.uint64) << np.uint64(44)) | (found >> np.uint64(20)), kind="stable")
+    found, of = found[order], of[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    return found[first], of[first], np.diff(np.append(first, len(found))), np.bincount(of, minlength=n)
 
 
-def signatures(units: np.ndarray, row: np.ndarray, weight: np.ndarray, k: int = COORDINATES) -> np.ndarray:
+def regions(items: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, region's seed, its area, how much of it lies below the weight) for the regions that a weight reaches.
+
+    The first region is [0, 1), the others [1, 2), [2, 4), [4, 8) and so on.
+    """
+    weight = np.asarray(weight, float)
+    count = 1 + np.ceil(np.log2(np.maximum(weight, 1.0))).astype(np.int64)
+    item = np.repeat(np.arange(len(items)), count)
+    level = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    low = np.where(level > 0, np.exp2(level - 1.0), 0.0)
+    area = np.where(level > 0, low, 1.0)
+    seed = np.where(level > 0, mix64(items[item] + level.astype(np.uint64) * _ODD[1]), items[item])
+    return item, seed, area, np.minimum(weight[item] - low, area)
+
+
+def signatures(items: np.ndarray, row: np.ndarray, weight: np.ndarray, total: np.ndarray, k: int = COORDINATES) -> np.ndarray:
     """A row of ``k`` 32-bit values a text: of the earliest dart on each coordinate, 0 where none fell.
 
     A text throws about k (ln k + 3) darts; a coordinate stays without one in 5 of 100 texts.
     """
-    n = len(weight)
+    n = len(total)
     best = np.full(n * k, ~np.uint64(0))
-    bound = k * (np.log(k) + 3) / np.maximum(weight, 1)
+    limits = k * (np.log(k) + 3) / np.maximum(total, 1)
+    which, seeds, areas, filled = regions(items, weight)
+    rows, darts = row[which], limits[row[which]] * areas
     for low, high, at_once in ((0.0, 0.7, 1), (0.7, 12.0, 4), (12.0, np.inf, 64)):
-        chosen = ((bound > low) & (bound <= high))[row]
-        item, of = units[chosen], row[chosen]
-        rank, thrown = np.zeros(len(item)), 0
-        while len(item):
+        chosen = np.flatnonzero((darts > low) & (darts <= high))
+        rank, thrown = np.zeros(len(chosen)), 0
+        while len(chosen):
             turn = np.arange(thrown + 1, thrown + at_once + 1, dtype=np.uint64) * _ODD[0]
-            dart = mix64(item[:, None] + turn[None, :])
+            dart = mix64(seeds[chosen][:, None] + turn[None, :])
             gaps = -np.log(((dart >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40)
-            ranks = rank[:, None] + np.cumsum(gaps, axis=1)
-            hit = ranks <= bound[of][:, None]
+            ranks = rank[:, None] + np.cumsum(gaps, axis=1) / areas[chosen][:, None]
+            soon = ranks <= limits[rows[chosen]][:, None]
+            hit = soon
+            part = filled[chosen] < areas[chosen]
+            if part.any():  # a dart's place on the weight axis
+                height = (mix64(dart[part] ^ _ODD[4]) >> np.uint64(40)).astype(np.float64) * 2.0**-24 * areas[chosen][part][:, None]
+                hit = soon.copy()
+                hit[part] &= height < filled[chosen][part][:, None]
             dart_hit = dart[hit]
-            spot = np.broadcast_to(of[:, None], hit.shape)[hit] * k + ((dart_hit & np.uint64(0xFFFFFF)) * np.uint64(k) >> np.uint64(24)).astype(np.int64)
+            spot = np.broadcast_to(rows[chosen][:, None], hit.shape)[hit] * k + ((dart_hit & np.uint64(0xFFFFFF)) * np.uint64(k) >> np.uint64(24)).astype(np.int64)
             packed = (ranks[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (mix64(dart_hit ^ _ODD[2]) >> np.uint64(32))
             np.minimum.at(best, spot, packed)
-            open_ = hit[:, -1]
-            item, of, rank, thrown = item[open_], of[open_], ranks[open_, -1], thrown + at_once
+            open_ = soon[:, -1]
+            chosen, rank, thrown = chosen[open_], ranks[open_, -1], thrown + at_once
     values = (best & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     values[best == ~np.uint64(0)] = 0
     return values.reshape(n, k)
@@ -113,13 +137,14 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return total.view(np.int64)
 
 
-def _digest(units: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Two 64-bit sums a text that tell its units."""
-    ends = np.cumsum(weight)
-    digest = np.zeros((len(weight), 2), np.uint64)
+def _digest(items: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Two 64-bit sums a text that tell its weighted shingles."""
+    ends = np.searchsorted(row, np.arange(n), "right")
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    digest = np.zeros((n, 2), np.uint64)
     for k in range(2):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(units ^ _ODD[k]), dtype=np.uint64)])
-        digest[:, k] = total[ends] - total[ends - weight]
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(items ^ _ODD[k]) * weight.astype(np.uint64), dtype=np.uint64)])
+        digest[:, k] = total[ends] - total[begins]
     return digest
 
 
@@ -128,16 +153,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = utf8(batch.column("text"))
         for a, b in steps(at, 1 << 20):
             part, own = data[at[a] : at[b]], at[a : b + 1] - at[a]
-            units, row, weight = shingles(part, own)
-            values = signatures(units, row, weight)
-            digest = _digest(units, weight)
-            for k in np.flatnonzero(weight == 0):  # without words only the very text is its like
+            items, row, weight, total = shingles(part, own)
+            values = signatures(items, row, weight, total)
+            digest = _digest(items, row, weight, b - a)
+            for k in np.flatnonzero(total == 0):  # without words only the very text is its like
                 digest[k] = np.frombuffer(hashlib.blake2b(part[own[k] : own[k + 1]].tobytes(), digest_size=16).digest(), np.uint64)
-            ends = np.concatenate([[0], np.cumsum(np.where(weight > 0, BANDS, 0))]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(ends, pa.array(band_keys(values)[weight > 0].ravel()))
+            ends = np.concatenate([[0], np.cumsum(np.where(total > 0, BANDS, 0))]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(ends, pa.array(band_keys(values)[total > 0].ravel()))
+            named = [batch.column(c).slice(a, b - a) for c in ("doc_id", "content", "row")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(weight), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), binary_rows(values.astype(np.uint8)), keys],
-                ["doc_id", "weight", "d1", "d2", "signature", "bands"],
+                [*named, pa.array(total), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), binary_rows(values.astype(np.uint8)), keys],
+                ["doc_id", "content", "row", "weight", "d1", "d2", "signature", "bands"],
             )
 
 
@@ -146,29 +172,31 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((one == many).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def jaccard(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
-    """The weighted Jaccard similarity of a text's sorted units and those of others, none empty."""
-    size = np.array([len(u) for u in many])
+Weighted = tuple[np.ndarray, np.ndarray]  # sorted shingles and how often each occurs
+
+
+def jaccard(one: Weighted, many: list[Weighted]) -> np.ndarray:
+    """The weighted Jaccard similarity of a text's shingles and those of others, none empty."""
+    size = np.array([len(u) for u, _ in many])
+    total, mine = np.array([w.sum() for _, w in many]), one[1].sum()
     out, lo, ends = np.zeros(len(many)), 0, np.cumsum(size)
     while lo < len(many):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + BLOCK_UNITS, "right")))
-        body = np.concatenate(many[lo:hi])
-        spot = np.minimum(np.searchsorted(one, body), len(one) - 1)
-        both = np.add.reduceat((one[spot] == body).astype(np.int64), ends[lo:hi] - size[lo:hi] - (ends[lo] - size[lo]))
-        out[lo:hi] = both / (len(one) + size[lo:hi] - both)
+        body, times = (np.concatenate([m[k] for m in many[lo:hi]]) for k in (0, 1))
+        spot = np.minimum(np.searchsorted(one[0], body), len(one[0]) - 1)
+        least = np.where(one[0][spot] == body, np.minimum(one[1][spot], times), 0)
+        both = np.add.reduceat(least, ends[lo:hi] - size[lo:hi] - (ends[lo] - size[lo]))
+        out[lo:hi] = both / (mine + total[lo:hi] - both)
         lo = hi
     return out
 
 
-def _links_of(ids: np.ndarray, block: np.ndarray, marks: np.ndarray, units: list[np.ndarray], similar: float, margin: float) -> list[tuple[int, int]]:
-    """Links that connect what is alike among the members; between the blocks only, if there are two."""
-    two = block[0] != block[-1]
-    label, out = np.arange(len(ids)), []
+def _links_of(ids: np.ndarray, label: np.ndarray, marks: np.ndarray, units: list[Weighted], similar: float, margin: float) -> list[tuple[int, int]]:
+    """Links that connect what is alike among members of different labels; labels are joined on the way."""
+    label, out = label.copy(), []
     for i in range(len(ids) - 1):
         j = np.arange(i + 1, len(ids))
         j = j[label[j] != label[i]]
-        if two:
-            j = j[block[j] != block[i]]
         j = j[estimates(marks[i], marks[j]) >= similar - margin] if len(j) else j
         j = j[jaccard(units[i], [units[k] for k in j]) >= similar] if len(j) else j
         if len(j):
@@ -178,21 +206,22 @@ def _links_of(ids: np.ndarray, block: np.ndarray, marks: np.ndarray, units: list
     return out
 
 
-def _units(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
-    """Members whose text is the one that was sketched, once each, and their sorted units."""
+def _units(table: pa.Table) -> tuple[pa.Table, list[Weighted]]:
+    """Members whose text is the one that was sketched, once each, and their sorted shingles."""
     data, at = utf8(table.column("text"))
     digests, out = [np.zeros((0, 2), np.int64)], []
     for a, b in steps(at, 1 << 20):
-        units, row, weight = shingles(data[at[a] : at[b]], at[a : b + 1] - at[a])
-        digests.append(_digest(units, weight).view(np.int64))
-        units = units[np.lexsort((units, row))]
-        out += np.split(units, np.cumsum(weight)[:-1])
+        items, row, weight, _ = shingles(data[at[a] : at[b]], at[a : b + 1] - at[a])
+        digests.append(_digest(items, row, weight, b - a).view(np.int64))
+        order = np.lexsort((items, row))
+        cuts = np.searchsorted(row, np.arange(1, b - a))
+        out += list(zip(np.split(items[order], cuts), np.split(weight[order], cuts), strict=True))
     digest = np.concatenate(digests)
     own = (digest == np.stack([table.column(c).to_numpy() for c in ("d1", "d2")], 1)).all(1)
     # rows that repeat a doc_id and text stand together
     place = np.flatnonzero(own)
     same = np.ones(max(0, len(place) - 1), bool)
-    for c in ("key", "p", "q", "rep", "d1", "d2"):
+    for c in ("key", "block", "rep"):
         v = table.column(c).to_numpy()[place]
         same &= v[1:] == v[:-1]
     place = place[np.concatenate([[True], ~same])] if len(place) else place
@@ -200,48 +229,44 @@ def _units(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
 
 
 def _compare(similar: float, margin: float) -> object:
+    def links(table: pa.Table) -> pa.RecordBatch:
+        table, units = _units(table)
+        if not len(units):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+        ids, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
+        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        new = np.zeros(len(ids), bool)
+        new[0] = True
+        for c in ("key", "block"):
+            v = table.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(ids)))
+        pair = starts[sizes == 2]
+        fine = pair[(label[pair] != label[pair + 1]) & (estimates(marks[pair], marks[pair + 1]) >= similar - margin)] if len(pair) else pair
+        fine = fine[[bool(jaccard(units[k], [units[k + 1]])[0] >= similar) for k in fine]] if len(fine) else fine
+        out = [(int(x), int(y)) for x, y in zip(ids[fine], ids[fine + 1], strict=True)]
+        for s, m in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            out += _links_of(ids[s : s + m], label[s : s + m], marks[s : s + m], units[s : s + m], similar, margin)
+        x = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members sorted by group, and within a group by block."""
+        """Members sorted by group; all of a group is needed at once, and its rows may be spread over batches."""
         held: list[pa.RecordBatch] = []
-
-        def links(table: pa.Table) -> pa.RecordBatch:
-            table, units = _units(table)
-            if not len(units):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-            ids = table.column("rep").to_numpy()
-            block = table.column("block").to_numpy()
-            marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-            new = np.ones(len(ids), bool)
-            for c in ("key", "p", "q"):
-                v = table.column(c).to_numpy()
-                new[1:] &= v[1:] == v[:-1]
-            new[1:] = ~new[1:]
-            new[0] = True
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.append(starts, len(ids)))
-            pair = starts[sizes == 2]
-            fine = pair[estimates(marks[pair], marks[pair + 1]) >= similar - margin]
-            fine = fine[[bool(jaccard(units[k], [units[k + 1]])[0] >= similar) for k in fine]] if len(fine) else fine
-            out = [(int(x), int(y)) for x, y in zip(ids[fine], ids[fine + 1], strict=True)]
-            for s, m in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                out += _links_of(ids[s : s + m], block[s : s + m], marks[s : s + m], units[s : s + m], similar, margin)
-            x = np.array(out, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # all of a group is needed at once: its rows may be spread over batches
-            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("key", "p", "q"))
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("key", "block"))
             same = np.ones(batch.num_rows, bool)
-            for c, v in zip(("key", "p", "q"), last, strict=True):
+            for c, v in zip(("key", "block"), last, strict=True):
                 same &= batch.column(c).to_numpy() == v
             cut_at = int(np.argmax(same))
             if cut_at:
                 held.append(batch.slice(0, cut_at))
                 yield links(pa.Table.from_batches(held))
                 held = []
-            elif held and tuple(held[-1].column(c)[0].as_py() for c in ("key", "p", "q")) != last:
+            elif held and tuple(held[-1].column(c)[0].as_py() for c in ("key", "block")) != last:
                 yield links(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(cut_at))
@@ -272,47 +297,97 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
     return labels.select(F.col("u").alias("id"), F.col("l").alias("class_id"))
 
 
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """(key, n, blocks) of the buckets to compare; of buckets with the same members one."""
+    seen = buckets.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("units"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("y")
+    )
+    chosen = seen.where("n > 1").groupBy("n", "units", "x", "y").agg(F.min("key").alias("key"))
+    blocks = F.when(F.col("n") <= LEADERS, F.lit(1)).otherwise(F.least("n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("units") / BLOCK_UNITS))))
+    return chosen.select("key", "n", blocks.cast("int").alias("blocks"))
+
+
 def near_links(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, margin: float = MARGIN) -> DataFrame:
     """Links (a, b), a < b, between different shingle sets, enough to connect all that are alike.
 
     Members of a bucket bring their texts, to be counted; texts that share no bucket stay where they are.
     """
+
+    def links(members: DataFrame) -> DataFrame:
+        """From rows (key, block, rep, label)."""
+        met = members.join(reps.select("rep", "doc_id", "content", "d1", "d2", "signature"), "rep")
+        met = met.join(docs.select("doc_id", "content", "text"), ["doc_id", "content"]).drop("doc_id", "content")
+        met = met.repartition(partitions(reps), "key", "block").sortWithinPartitions("key", "block", "rep")
+        return met.mapInArrow(_compare(similar, margin), "a long, b long").distinct()
+
+    def placed(everywhere: Column) -> Column:
+        own = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")
+        return F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block")
+
     buckets = reps.select("rep", "weight", F.explode("bands").alias("key"))
-    seen = buckets.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("units"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("y")
-    )
-    # buckets with the same members are compared once
-    chosen = seen.where("n > 1").groupBy("n", "units", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "units")
+    chosen = cut(_blocks(buckets))
     members = buckets.select("rep", "key").join(chosen, "key")
-    members = members.withColumn("blocks", F.least("n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("units") / BLOCK_UNITS))).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    members = members.select("key", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("key", "rep", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    members = members.join(reps.select("rep", "d1", "d2", "signature"), "rep")
-    members = members.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    met = members.repartition(partitions(reps), "key", "p", "q").sortWithinPartitions("key", "p", "q", "block", "rep", "d1", "d2")
-    return met.mapInArrow(_compare(similar, margin), "a long, b long").distinct()
+    leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "rep", "key"), F.col("n")) < LEADERS)
+    found = cut(links(members.select("key", "rep", placed(leads), F.col("rep").alias("label"))))
+    large = chosen.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    # what of a large bucket is not in its largest class goes to all blocks, so it meets all others
+    inside = buckets.select("rep", "key").join(large, "key").join(connected(found).select(F.col("id").alias("rep"), "class_id"), "rep", "left")
+    inside = inside.withColumn("label", F.coalesce("class_id", "rep"))
+    sizes = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    outside = inside.join(most.select("key", F.col("most.label").alias("most")), "key")
+    more = links(outside.select("key", "rep", placed(F.col("label") != F.col("most")), "label"))
+    return found.unionByName(more).distinct()
+
+
+def judged(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, content, class_id, class_size, kept) of each row with an id; ``content`` is a hash of its text."""
+    docs = docs.select(integer_id(docs), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull()).withColumn("content", F.xxhash64("text"))
+    schema = "doc_id long, content long, row long, weight long, d1 long, d2 long, signature binary, bands array<long>"
+    sketch = cut(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sketch, schema))
+    equal = ["d1", "d2", "weight"]
+    reps = sketch.groupBy(*equal).agg(
+        F.min(F.struct("doc_id", "content", "row")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
+    )
+    reps = cut(reps.select(*equal, F.col("first.row").alias("rep"), "first.doc_id", "first.content", "first", "copies", "signature", "bands"))
+    classes = connected(near_links(reps, docs, similar))
+    found = reps.select(*equal, "rep", "first", "copies").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
+    found = found.withColumn("class", F.coalesce("class_id", "rep")).drop("class_id")
+    sizes = found.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("least"))
+    found = found.join(sizes, "class").select(*equal, "class_size", "least")
+    return sketch.select("doc_id", "content", "row", *equal).join(found, equal).select(
+        "doc_id", "content", F.col("least.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("least.row")).alias("kept")
+    )
 
 
 def near_dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept.
 
     A class is a connected component of documents whose shingles are alike, by a weighted Jaccard
-    similarity of ``similar`` or more, counted for all that their signatures propose; its id is its least doc_id,
-    and that document is kept. Documents with equal shingles are always in one class. Texts without
-    words (null counts as empty) are alike only if equal. Ids are integers; rows that repeat an id
-    share the class of their text; a row with a null id has a null class and stays.
+    similarity of ``similar`` or more, counted for all that their signatures propose; its id is its
+    least doc_id, and one row with that id is kept. Documents with equal shingles are always in one
+    class. Texts without words (null counts as empty) are alike only if equal. Ids are integers; of
+    rows that repeat an id and are alike one stays; a row with a null id has a null class and stays.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, weight long, d1 long, d2 long, signature binary, bands array<long>"
-    sketch = cut(docs.where(F.col("doc_id").isNotNull()).mapInArrow(_sketch, schema))
-    equal = ["d1", "d2", "weight"]
-    reps = cut(sketch.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    classes = connected(near_links(reps, docs, similar))
-    found = reps.select(*equal, "rep", "copies").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.withColumn("class_id", F.coalesce("class_id", "rep"))
-    sizes = found.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    found = found.join(sizes, "class_id").select(*equal, "class_id", "class_size")
-    out = sketch.select("doc_id", *equal).join(found, equal).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    out = judged(docs, similar).drop("content")
+    nameless = docs.where(F.col("doc_id").isNull()).select(integer_id(docs), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return out.unionByName(nameless)
+
+
+def without_near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each class, all columns as they are; rows without an id stay."""
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    told = cut(judged(docs, similar).groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")))
+    name, own = "__id", "__content"
+    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias(name), F.col("content").alias(own))
+    left = docs.withColumn(own, content).join(gone.withColumnRenamed(own, "__gone"), (F.col("doc_id") == F.col(name)) & (F.col(own) == F.col("__gone")), "left_anti")
+    twice = told.where(F.col("kept") & (F.col("rows") > 1)).select(F.col("doc_id").alias(name), F.col("content").alias("__gone"))
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    # rows that are equal in id and text: one of them, by the order of all their columns
+    marked = left.join(twice, (F.col("doc_id") == F.col(name)) & (F.col(own) == F.col("__gone")), "left")
+    once = marked.where(F.col(name).isNull()).select(*docs.columns)
+    again = marked.where(F.col(name).isNotNull()).groupBy("doc_id", own).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return once.unionByName(again)

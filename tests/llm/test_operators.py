@@ -196,7 +196,7 @@ def test_near_dedup_has_a_sharp_border(spark, monkeypatch, block):
 def test_near_dedup_odd_tables(spark):
     assert near_dedup.near_dedup(empty(spark)).count() == 0
     got = near_dedup.near_dedup(table(spark, [(None, "a b", None, None), (3, "A, b!", None, None), (3, "a b", None, None), (9, "a b", None, None)])).collect()
-    assert sorted((r["doc_id"] or -1, r["class_id"] or -1, r["kept"]) for r in got) == [(-1, -1, True), (3, 3, True), (3, 3, True), (9, 3, False)]
+    assert sorted((r["doc_id"] or -1, r["class_id"] or -1, r["kept"]) for r in got) == [(-1, -1, True), (3, 3, False), (3, 3, True), (9, 3, False)]
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -206,12 +206,52 @@ def test_signatures_estimate_weighted_jaccard():
         keep = int(400 * share)
         text = [" ".join(w).encode(), " ".join(w[:keep] + [f"v{k}" for k in range(400 - keep)]).encode()]
         data, at = np.frombuffer(b"".join(text), np.uint8), np.array([0, len(text[0]), len(text[0]) + len(text[1])])
-        units, row, weight = near_dedup.shingles(data, at)
-        marks = near_dedup.signatures(units, row, weight).astype(np.uint8)
+        marks = near_dedup.signatures(*near_dedup.shingles(data, at)).astype(np.uint8)
         true = (keep - 4) / (2 * 396 - (keep - 4))
         assert abs(near_dedup.estimates(marks[0], marks[1]) - true) < 0.1
 
 
+def test_signatures_estimate_weighted_sets():
+    rng = np.random.default_rng(5)
+    items = np.sort(rng.integers(1, 1 << 62, 60).astype(np.uint64))
+    for scale in (0.4, 1.0, 30.0):  # weights below one, about it and large, none of them whole
+        one, two = rng.random(60) * scale * 2, rng.random(60) * scale * 2
+        row = np.repeat([0, 1], 60)
+        marks = near_dedup.signatures(np.tile(items, 2), row, np.concatenate([one, two]), np.array([one.sum(), two.sum()]), 4000).astype(np.uint8)
+        assert abs(near_dedup.estimates(marks[0], marks[1]) - np.minimum(one, two).sum() / np.maximum(one, two).sum()) < 0.05
+
+
+def test_near_dedup_counts_how_often_shingles_occur(spark):
+    line = "one two three four five six seven "
+    rows = {k: line * n + "end of it all here now" for k, n in enumerate((100, 118, 121, 150, 400, 480, 900, 1150))}
+    got = by_id(near_dedup.near_dedup(table(spark, [(i, t, "en", "s") for i, t in rows.items()])))
+    assert {i: r["class_id"] for i, r in got.items()} == similar_classes(rows, 0.8)
+
+
+def test_near_dedup_finds_what_is_outside_the_largest_class(spark, monkeypatch):
+    """Signatures of one band of one row, so that buckets hold many texts that are not alike."""
+    for name, value in (("BLOCK", 5), ("LEADERS", 2)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng, rows = random.Random(31), {}
+    common = [f"c{k}" for k in range(60)]
+    for k in range(40):  # a third of each is common, so they meet but are not alike
+        own = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        rows[2 * k] = " ".join(common + own)
+        rows[2 * k + 1] = " ".join(common + own[:-3] + ["x", "y", "z"])
+    rows |= {200 + k: " ".join(common + [f"v{j}" for j in range(100)] + [f"u{k}"]) for k in range(30)}
+    got = by_id(near_dedup.near_dedup(table(spark, [(i, t, "en", "s") for i, t in rows.items()])))
+    assert {i: r["class_id"] for i, r in got.items()} == similar_classes(rows, 0.8)
+
+
+def test_without_near_copies_keeps_one_row_a_class(spark):
+    rows = [(1, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (1, "g h i j k l", "en", "s"), (2, "A b c d e f!", "fr", "s"), (3, "g h i j k l", "en", "t"), (3, "g h i j k l", "en", "t"), (None, "a b c d e f", "en", "s")]
+    for given in (rows, rows[3:]):
+        left = near_dedup.without_near_copies(table(spark, given))
+        assert left.columns == table(spark, given).columns
+        want = Counter({(1, "a b c d e f"): 1, (1, "g h i j k l"): 1, (None, "a b c d e f"): 1}) if given is rows else Counter({(2, "A b c d e f!"): 1, (3, "g h i j k l"): 1, (None, "a b c d e f"): 1})
+        assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == want
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201)]
     got = {r["id"]: r["class_id"] for r in near_dedup.connected(spark.createDataFrame(links, "a long, b long")).collect()}
