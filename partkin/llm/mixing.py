@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Every source is dealt by a seeded hash into shards of bounded size. The words that the mix should
-hold are cut into blocks of equal size; Sainte-Lague gives each source its number of blocks (the
-highest quotients of target / 0.5, 1.5, 2.5, ... win), and gives each shard of a source its quota of
-those in the same way. A shard puts its documents in a seeded order, passes over them whole as often
+Every source is dealt by a seeded hash into shards of bounded size, and these into groups. The words
+that the mix should hold are cut into blocks of equal size; Sainte-Lague gives each source its number
+of blocks (the highest quotients of target / 0.5, 1.5, 2.5, ... win), and gives each group of a
+source, and each shard of a group, its quota of those in the same way. A shard puts its documents in a seeded order, passes over them whole as often
 as its quota allows, and takes the first blocks of one more pass for what is left.
 """
 
@@ -24,6 +24,8 @@ from .shared import cut
 #: Words are runs of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Sources whose table is broadcast; with more, Spark chooses the join.
+MOST_SOURCES = 10_000
 
 
 def water_level(sizes: np.ndarray, weights: np.ndarray, share: float, epochs: float) -> np.ndarray:
@@ -78,76 +80,123 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return out
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = WEIGHTS,
-    share: float = 1.5,
-    epochs: int = 2,
-    block_words: int = 1024,
-    shard_docs: int = 4096,
-    max_shards: int = 4096,
-    seed: int = 17,
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+def _quotas(votes: str, blocks: str, block: int, epochs: int, names: list[str], kind: str) -> tuple[object, str]:
+    """A function that deals a parent's blocks to its rows by Sainte-Lague, and its schema."""
 
-    Sources are ordered by code point, null last, and weigh ``weights`` in turn. Their targets sum to
-    ``share`` of all words and stop at ``epochs`` times the source's words (water_level). ``taken``
-    counts the document's words in the mix, repeats included, at most ``epochs`` times its size; a
-    block's edge may cut a document. A null or empty text has size 0 and takes nothing; a source of
-    only such texts has target 0. Blocks shrink below ``block_words`` where the smallest positive
-    target asks for it, to keep every source within one block, or 1 %, of its target. The driver sees
-    one row for each shard: at most ``max_shards`` a source, of which there are few. Order within a
-    shard is by seeded hash, then doc_id, so reruns agree; rows that repeat a doc_id count each.
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        order = np.lexsort([rows.column(c).to_numpy() for c in reversed(names)])
+        rows = rows.take(pa.array(order))
+        own = rows.column(votes).to_numpy()
+        quota = sainte_lague(own, int(rows.column(blocks)[0].as_py()), -(-epochs * own // block))
+        return pa.table([*[rows.column(c) for c in names], rows.column(votes), pa.array(quota)], [*names, votes, "quota"])
+
+    return run, kind
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: int, block_words: int, shard_docs: int, seed: int) -> DataFrame:
+    """``docs`` with __size, __source_size, __target and __taken, each row for itself.
+
+    A source's documents are dealt by hash to groups of shards, and those to shards, of about
+    ``shard_docs`` rows. The driver sees the sources and their groups, of ``shard_docs`` shards each;
+    shards get their quotas where they lie.
     """
-    sized = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    measured = docs.withColumns(
+        {"__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}
+    )
+    small = cut(measured.select("source", "__size", "doc_id", "__text"))
     # Spark and Python both order valid UTF-8 by code point
     totals = sorted(
-        (r.asDict() for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()),
+        (r.asDict() for r in small.groupBy("source").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()),
         key=lambda r: (r["source"] is None, r["source"] or ""),
     )
     size = np.array([r["size"] for r in totals], np.int64)
     weight = np.array([weights[k % len(weights)] for k in range(len(totals))])
     target = water_level(size, weight, share, epochs)
-    n_shards = [max(1, min(max_shards, math.ceil(r["docs"] / shard_docs))) for r in totals]
+    shards = [max(1, math.ceil(r["docs"] / shard_docs)) for r in totals]
     positive = target[target > 0]
     block = int(max(1, min([block_words, *(positive // 200)])))
 
     spark = docs.sparkSession
     sources = spark.createDataFrame(
-        [(k, r["source"], int(size[k]), float(target[k]), n_shards[k]) for k, r in enumerate(totals)],
-        "rank int, source string, source_size long, target double, n_shards int",
+        [(k, r["source"], int(size[k]), float(target[k]), math.ceil(n / shard_docs), min(n, shard_docs)) for k, (r, n) in enumerate(zip(totals, shards, strict=True))],
+        "__rank int, __source string, __source_size long, __target double, __groups int, __shards int",
     )
-    dealt = sized.join(F.broadcast(sources.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source")))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("n_shards")).cast("int"))
-
-    shards = dealt.groupBy("rank", "shard").agg(F.sum("size").alias("words")).orderBy("rank", "shard").collect()
-    rank = np.array([r["rank"] for r in shards], np.int64)
-    words = np.array([r["words"] for r in shards], np.int64)
+    if len(totals) <= MOST_SOURCES:  # a row of some dozen bytes each
+        sources = F.broadcast(sources)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        met = rows.join(sources, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        group = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("__text")), F.col("__groups")).cast("int")
+        shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("__text")), F.col("__shards")).cast("int")
+        return met.withColumns({"__group": group, "__shard": shard})
+
+    words = cut(dealt(small).groupBy("__rank", "__group", "__shard").agg(F.sum("__size").alias("__words")))
+    groups = words.groupBy("__rank", "__group").agg(F.sum("__words").alias("words")).orderBy("__rank", "__group").collect()
+    rank = np.array([r["__rank"] for r in groups], np.int64)
+    own = np.array([r["words"] for r in groups], np.int64)
     blocks = sainte_lague(target, int(round(float(target.sum()) / block)))
-    quota = np.zeros(len(shards), np.int64)
-    for k in range(len(totals)):
-        of = rank == k
-        quota[of] = sainte_lague(words[of], int(blocks[k]), -(-epochs * words[of] // block))
-    take = np.minimum(quota * block, epochs * words)
-    plan = spark.createDataFrame(
-        [(r["rank"], r["shard"], int(w), int(t)) for r, w, t in zip(shards, words, take, strict=True)],
-        "rank int, shard int, shard_words long, shard_take long",
+    # groups are in order of rank, so each source is a run of them
+    edges = np.searchsorted(rank, np.arange(len(totals) + 1))
+    quota = [sainte_lague(own[a:b], int(n), -(-epochs * own[a:b] // block)) for n, a, b in zip(blocks, edges[:-1], edges[1:], strict=True)]
+    parents = spark.createDataFrame(
+        [(r["__rank"], r["__group"], int(q)) for r, q in zip(groups, np.concatenate([np.zeros(0, np.int64), *quota]), strict=True)], "__rank int, __group int, __blocks long"
     )
-    w = Window.partitionBy("rank", "shard").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("upto", F.sum("size").over(w)).join(F.broadcast(plan), ["rank", "shard"])
-    whole = F.when(F.col("shard_words") > 0, F.floor(F.col("shard_take") / F.col("shard_words"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("shard_take") - whole * F.col("shard_words")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("upto") - F.col("size"))))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    run, kind = _quotas("__words", "__blocks", block, epochs, ["__rank", "__group", "__shard"], "__rank int, __group int, __shard int, __words long, quota long")
+    plan = words.join(parents, ["__rank", "__group"]).groupBy("__rank", "__group").applyInArrow(run, kind)
+    plan = plan.withColumn("__take", F.least(F.col("quota") * block, F.col("__words") * epochs)).drop("quota")
+
+    shard = ["__rank", "__group", "__shard"]
+    order = [F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id"), F.col("__text"), F.col("__size")]
+    upto = F.sum("__size").over(Window.partitionBy(*shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = dealt(measured).withColumn("__upto", upto).join(plan, shard)
+    whole = F.when(F.col("__words") > 0, F.floor(F.col("__take") / F.col("__words"))).otherwise(F.lit(0)).cast("long")
+    rest = F.col("__take") - whole * F.col("__words")
+    part = F.greatest(F.lit(0), F.least(F.col("__size"), rest - (F.col("__upto") - F.col("__size"))))
+    out = placed.withColumn("__taken", (whole * F.col("__size") + part).cast("long"))
+    return out.select(*docs.columns, "__size", "__source_size", "__target", "__taken")
 
 
-def realise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: whole copies, and for a rest of words the text up to its last.
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.5,
+    epochs: int = 2,
+    block_words: int = 1024,
+    shard_docs: int = 4096,
+    seed: int = 17,
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken.
+
+    Sources are ordered by code point, null last, and weigh ``weights`` in turn. Their targets sum to
+    ``share`` of all words and stop at ``epochs`` times the source's words (water_level). ``taken``
+    counts the document's words in the mix, repeats included, at most ``epochs`` times its size; a
+    block's edge may cut a document. A null or empty text has size 0 and takes nothing; a source of
+    only such texts has target 0. Blocks shrink below ``block_words`` where the smallest positive
+    target asks for it, to keep every source within one block, or 1 %, of its target. Order within a
+    shard is by seeded hash, then doc_id and text, so reruns agree; rows that repeat a doc_id, or are
+    equal altogether, count each. Shards hold about ``shard_docs`` rows at every size; the driver
+    sees one row for each source and each ``shard_docs`` shards.
+    """
+    narrow = docs.select("doc_id", "source", "text")
+    placed = _planned(narrow, weights, share, epochs, block_words, shard_docs, seed)
+    names = {"size": "__size", "source_size": "__source_size", "target": "__target", "taken": "__taken"}
+    return placed.select("doc_id", "source", *[F.col(c).alias(k) for k, c in names.items()])
+
+
+def mixed(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.5,
+    epochs: int = 2,
+    block_words: int = 1024,
+    shard_docs: int = 4096,
+    seed: int = 17,
+) -> DataFrame:
+    """``docs`` as ``mix`` takes them: whole copies, and for a rest of words the text up to its last.
 
-    A document that the mix takes no word of goes, unless it has none (it takes no room). Rows
-    without a doc_id can't be matched and stay once, whole. ``n_chars``, where there is one, follows
-    the text. doc_ids are unique; copies carry the id of their document.
+    A document that the mix takes no word of goes, unless it has none (it takes no room). ``n_chars``,
+    where there is one, follows the text. Copies carry the id of their document; rows that repeat an
+    id are taken each by themselves, those without one too.
     """
 
     @arrow_udf("string")
@@ -162,13 +211,16 @@ def realise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
                 out.append(text[:end])
             yield pa.array(out, pa.string())
 
-    plan = mixed.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    met = docs.join(plan, F.col("doc_id") == F.col("__id"), "left")
-    bare = F.coalesce(F.col("__size"), F.lit(0)) == 0
-    times = F.when(bare, F.lit(1)).otherwise((F.col("__taken") / F.greatest("__size", F.lit(1))).cast("long"))
-    met = met.withColumns({"__times": times.cast("int"), "__rest": F.when(bare, F.lit(0)).otherwise(F.col("__taken") % F.greatest("__size", F.lit(1)))})
-    whole = met.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
-    part = met.where("__rest > 0").withColumn("text", head(F.col("text"), F.col("__rest")))
+    met = _planned(docs, weights, share, epochs, block_words, shard_docs, seed)
+    some = F.greatest("__size", F.lit(1))
+    copies = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.floor(F.col("__taken") / some).cast("int"))
+    rest = F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.col("__taken") % some)
+    # one row for each whole copy (0 words to cut at) and one for the rest
+    each = F.concat(F.array_repeat(F.lit(0).cast("long"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    met = met.withColumn("__cut", F.explode(each))
+    short = F.col("__cut") > 0
+    texts = met.withColumn("__head", F.when(short, head(F.when(short, F.col("text")).otherwise(F.lit("")), F.col("__cut").cast("int"))))
+    new = {"text": F.when(short, F.col("__head")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(part.select(*docs.columns))
+        new["n_chars"] = F.when(short, F.length("__head").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return texts.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

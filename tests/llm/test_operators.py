@@ -456,11 +456,61 @@ def test_mix(docs, texts):
     assert {i: r["taken"] for i, r in again.items()} == {i: r["taken"] for i, r in got.items()}
 
 
+def placed_by_hand(spark, rows, quota, block, seed=17):
+    """taken of every row of one shard: documents in order of their hash, whole passes, then the first words left."""
+    from pyspark.sql import functions as F
+
+    hashed = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(i,) for i in rows], "doc_id long").select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).collect()}
+    total = sum(rows.values())
+    take, out = min(quota * block, 2 * total), {}
+    left = take % total
+    for i in sorted(rows, key=lambda i: (hashed[i], i)):
+        part = min(rows[i], left)
+        out[i], left = take // total * rows[i] + part, left - part
+    return out
+
+
+def test_mix_takes_each_document_in_its_turn(spark):
+    rng = random.Random(8)
+    rows = [(k, words(rng, rng.randint(1, 90)), "en", "a" if k % 3 else "b") for k in range(90)]
+    got = by_id(mixing.mix(table(spark, rows), block_words=7))
+    sizes = {s: {i: len(t.split()) for i, t, _, x in rows if x == s} for s in "ab"}
+    total = np.array([sum(sizes[s].values()) for s in "ab"], float)
+    target = by_rounds(total, np.array([5.0, 2.0]), 1.5, 2)
+    blocks = mixing.sainte_lague(target, int(round(target.sum() / 7)))
+    for k, s in enumerate("ab"):
+        want = placed_by_hand(spark, sizes[s], min(int(blocks[k]), int(-(-2 * total[k] // 7))), 7)
+        assert {i: got[i]["taken"] for i in want} == want
+
+
+@pytest.mark.parametrize("shard_docs", [2, 5])
+def test_mix_of_many_shards_in_groups(spark, shard_docs):
+    rng = random.Random(18)
+    rows = [(k, words(rng, rng.randint(1, 40)), "en", f"s{k % 2}") for k in range(200)]
+    got = by_id(mixing.mix(table(spark, rows), shard_docs=shard_docs, block_words=3))
+    for s in ("s0", "s1"):
+        own = [r for r in got.values() if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.02 * own[0]["target"] + 3 and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+
+
+def test_mix_of_repeated_rows(spark):
+    text = "w " * 60
+    rows = [(1, text, "en", "a")] * 2 + [(1, "v " * 30, "en", "a"), (2, "u " * 50, "en", "b"), (None, "t " * 20, "en", "b")]
+    docs = table(spark, rows)
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] += r["taken"]
+    real = Counter()
+    for r in mixing.mixed(docs).collect():
+        real[r["source"]] += len(r["text"].split())
+    targets = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    assert taken == real and all(abs(real[s] - t) <= 2 for s, t in targets.items())
+
+
 def test_realised_mix_has_the_words_taken(docs, texts):
-    mixed = mixing.mix(docs)
-    taken = {r["doc_id"]: r["taken"] for r in mixed.collect()}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
     got = Counter()
-    for r in mixing.realise(docs, mixed).collect():
+    for r in mixing.mixed(docs).collect():
         got[r["doc_id"]] += len((r["text"] or "").encode().split())
         assert (texts[r["doc_id"]] or "").startswith(r["text"] or "") and r["n_chars"] == (None if r["text"] is None else len(r["text"]))
     assert {i: n for i, n in taken.items() if n} == {i: n for i, n in got.items() if n}
