@@ -49,6 +49,19 @@ def integer_id(docs: DataFrame, name: str = "doc_id") -> Column:
     return F.col(name).cast("long").alias(name)
 
 
+def frequent(rows: DataFrame, key: str, most: int, counters: int, least: int) -> DataFrame:
+    """(key) of at most ``most`` longs that may stand in ``least`` rows or more, from a frequent-items sketch.
+
+    Tasks keep sketches of ``counters`` counters of the Misra-Gries family, which are merged in two
+    steps, so that no task reads all of them. With N rows, a key above N * 4 / (3 * counters) rows is
+    found unless ``most`` others are more frequent; one that is found need not be frequent.
+    """
+    parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_accumulate({key}, {counters})").alias("sketch"))
+    whole = parts.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
+    found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("t"))
+    return found.where(F.col("t.count") >= least).select(F.col("t.item").alias(key))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold that no model may learn from; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
