@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from partkin.llm import exact_dedup, fingerprints, html_text, language_id, line_dedup, mixing, near_dedup, packing, quality, shared, substring_dedup
 
@@ -365,12 +366,14 @@ def test_segments_of_a_long_text_cover_each_window_once():
 # --- packing ---
 
 
-def test_packing_is_a_round_trip(docs, texts):
+@pytest.mark.parametrize("file,chunk", [("word_bpe_49k.json", 1024), ("word_bpe_49k.json", 50), ("byte_bpe_50k.json", 1024)])
+def test_packing_is_a_round_trip(docs, texts, file, chunk, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    pieces = packing.pack(docs, length=256).collect()
+    monkeypatch.setattr(packing, "CHUNK", chunk)
+    model = Tokenizer.from_file(public_tokenizers.path(file))
+    pieces = packing.pack(docs, public_tokenizers.path(file), length=256).collect()
     by_doc, by_sequence = {}, {}
     for p in pieces:
         by_doc.setdefault(p["doc_id"], []).append(p)
@@ -416,6 +419,26 @@ def test_packing_odd_tables(spark):
     assert sorted((r["doc_tokens"], r["length"]) for r in got)[:2] == [(1, 1), (1, 1)]
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,0)", "int"])
+def test_packing_of_other_integers_and_repeated_rows(spark, kind, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 8)
+    text = "some words that make more than a chunk of tokens, " * 4
+    docs = table(spark, [(1, text, None, None)] * 3 + [(1, "other " + text, None, None)]).withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = packing.pack(docs, length=64)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert got.agg(F.sum("length")).first()[0] == docs.count() * got.agg(F.min("doc_tokens")).first()[0] + 1 and got.where("doc_id = 1").count() == got.count()
+
+
+def test_words_that_share_a_hash_are_encoded_whole(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, odd = packing.Encoder(path), packing.Encoder(path)
+    monkeypatch.setattr(odd, "words", lambda t, words=odd.words: (lambda s, n, h, c: (s, n, h % np.uint64(5), c))(*words(t)))
+    texts = ["these are several words of a text", "and these of another"]
+    assert all((a == b).all() for a, b in zip(plain(texts), odd(texts), strict=True))
+
+
 # --- mixing ---
 
 
@@ -469,8 +492,6 @@ def test_mix(docs, texts):
 
 def placed_by_hand(spark, rows, quota, block, seed=17):
     """taken of every row of one shard: documents in order of their hash, whole passes, then the first words left."""
-    from pyspark.sql import functions as F
-
     hashed = {r["doc_id"]: r["h"] for r in spark.createDataFrame([(i,) for i in rows], "doc_id long").select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).collect()}
     total = sum(rows.values())
     take, out = min(quota * block, 2 * total), {}
