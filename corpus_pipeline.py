@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partkin.llm.line_dedup import line_dedup
-from partkin.llm.mixing import mix, realise
-from partkin.llm.near_dedup import near_dedup
+from partkin.llm.mixing import mixed
+from partkin.llm.near_dedup import without_near_copies
 from partkin.llm.packing import pack
 from partkin.llm.quality import KEEP_AT, learn, with_scores
 from partkin.llm.shared import cut, table
@@ -29,20 +29,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of repeated three-line windows."""
-    return line_dedup(docs).select(*docs.columns)
+    return line_dedup(docs, counts=False)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     ship(spark)
-    gone = near_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as much of them, as the mix takes."""
     ship(spark)
-    return realise(docs, mix(docs))
+    return mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
