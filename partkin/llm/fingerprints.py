@@ -2,9 +2,10 @@
 
 A rolling hash of the last seven bytes ends a chunk wherever it meets a condition of the block size,
 so chunk borders depend on nearby content alone and an edit changes few chunks. A fingerprint is the
-block size (halved until there are enough chunks), one character for each chunk, and the same at twice the block size; two fingerprints are
-compared, where block sizes allow, by the edit distance of their signatures. Borders, chunk hashes
-and edit distances (bit-parallel, for all pairs of a step at once) are array operations.
+block size (halved until there are enough chunks), one character for each chunk, and the same at
+twice the block size; two fingerprints are compared, where block sizes allow, by the edit distance of
+their signatures. Borders, chunk hashes and edit distances (bit-parallel, for all pairs of a step at
+once) are array operations.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .shared import STEP_BYTES, mix64, partitions, powers
+from .shared import STEP_BYTES, integer_id, mix64, partitions, powers
 
 SMALLEST = 3
 LENGTH = 64  # characters of a signature, at most: the last one stands for all chunks that are left
@@ -215,6 +216,13 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = held[-1:], len(text)
 
 
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are each their own successor."""
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            yield _answers([(None, text), (None, text)])
+
+
 def document_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints every whole text and its edited text (null: empty).
 
@@ -224,33 +232,34 @@ def document_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFr
 
     Documents are dealt by ranges of doc_id (integers), whose first ids the driver gets from a scan
     of that column alone; the first document of a range is also sent to the range before, so every
-    document meets its successor in one shuffle. Rows that repeat a doc_id are ordered by text; null
-    ids come last. A single document is its own successor. An empty table gives an empty result.
+    document meets its successor in one shuffle. Rows that repeat a doc_id are ordered by text. A row
+    without an id has no place in the order: it is its own successor, as is a single document. An
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    docs = docs.select(integer_id(docs), F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.where(F.col("doc_id").isNotNull())
     n = buckets or 3 * partitions(docs)
     shares = [k / n for k in range(1, n)] or [0.5]
-    ends = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", shares, 10 * n).alias("cuts")).first()
-    low = ends["low"]
-    firsts = np.array(sorted({c for c in ends["cuts"] or () if c > low}), np.int64) if low is not None else np.zeros(0, np.int64)
+    ends = named.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", shares, 10 * n).alias("cuts")).first()
+    low = ends["low"] or 0
+    firsts = np.array(sorted({c for c in ends["cuts"] or () if c > low}), np.int64)
     last = len(firsts)
 
     @arrow_udf("array<int>")
     def deal(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Twice the bucket of a row, and for the first of its range also that of the one before, plus one."""
         for ids in batches:
-            missing = ids.is_null().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            bucket = np.where(missing, last, np.searchsorted(firsts, ids, "right"))
-            first = ~missing & ((ids == low) if low is not None else False)
+            ids = ids.to_numpy(zero_copy_only=False)
+            bucket = np.searchsorted(firsts, ids, "right")
+            first = ids == low
             if last:
-                first |= ~missing & (bucket > 0) & (firsts[np.maximum(bucket, 1) - 1] == ids)
-            first |= missing & (low is None)
+                first |= (bucket > 0) & (firsts[np.maximum(bucket, 1) - 1] == ids)
             before = np.where(bucket > 0, bucket - 1, last)
-            yield pa.array([[2 * int(b), 2 * int(p) + 1] if f else [2 * int(b)] for b, p, f in zip(bucket, before, first, strict=True)], pa.list_(pa.int32()))
+            codes = np.stack([2 * bucket, 2 * before + 1], 1).ravel()[np.stack([np.ones(len(ids), bool), first], 1).ravel()]
+            yield pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(1 + first)]).astype(np.int32), pa.array(codes.astype(np.int32)))
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = dealt.withColumn("code", F.explode(deal(F.col("doc_id"))))
+    dealt = named.withColumn("code", F.explode(deal(F.col("doc_id"))))
     dealt = dealt.select((F.col("code") / 2).cast("int").alias("bucket"), (F.col("code") % 2).alias("tail"), "doc_id", "text")
-    met = dealt.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_last(), "text")
+    met = dealt.repartition(partitions(docs), "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return met.mapInArrow(_stream, schema)
+    return met.mapInArrow(_stream, schema).unionByName(docs.where(F.col("doc_id").isNull()).mapInArrow(_alone, schema))
