@@ -40,6 +40,8 @@ ASIDE_WORDS = re.compile(
 )
 #: Those that hold no article's text wherever they stand.
 EXPLICIT = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isements?)?|adsense|comments?|comment-?(?:list|area|section)|disqus\w*)(?=$|[\s_-])", re.I)
+#: Whole words of an article's own class, id or role that say it is one of those.
+NO_ARTICLE = re.compile(r"(?:ads?|advert(?:s|isements?)?|adsense|disqus[\w-]*|(?:user-|reader-)?(?:comments?|repl(?:y|ies))(?:-(?:body|content|item|list|area|section|thread))?)", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open one of their kind, as browsers have it.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,17 +54,20 @@ def _hidden(name: str, value: str) -> bool:
     return name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", ""))
 
 
-def _named(attrs: list[tuple[str, str | None]], within: bool) -> int:
+def _named(tag: str, attrs: list[tuple[str, str | None]], within: bool) -> int:
     """2 for an element whose names are EXPLICIT, 1 for other ASIDE_WORDS, else 0.
 
-    Within an article only explicit names count, and an id only as a whole: ids are anchors there.
+    Within an article only explicit names count, and an id only as a whole: ids are anchors there. An
+    article is set aside by NO_ARTICLE alone, a heading by nothing.
     """
     found = 0
     for name, value in attrs:
-        if value and name in ("class", "id", "role"):
-            if EXPLICIT.fullmatch(value) if within and name == "id" else EXPLICIT.search(value):
+        if value and name in ("class", "id", "role") and tag not in HEADINGS:
+            if tag == "article":
+                found = max(found, 2 * any(NO_ARTICLE.fullmatch(word) is not None for word in value.split()))
+            elif EXPLICIT.fullmatch(value) if within and name == "id" else EXPLICIT.search(value):
                 return 2
-            if not within and ASIDE_WORDS.search(value):
+            elif not within and ASIDE_WORDS.search(value):
                 found = 1
     return found
 
@@ -70,9 +75,9 @@ def _named(attrs: list[tuple[str, str | None]], within: bool) -> int:
 class _Lines(HTMLParser):
     """Folds parser events into lines: [text parts, tags, link characters, number of the outermost article or 0]."""
 
-    def __init__(self, hints: bool = True, ignored: frozenset[int] = frozenset()) -> None:
+    def __init__(self, ignored: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.hints, self.ignored = hints, ignored
+        self.ignored = ignored
         self.lines: list[tuple[str, int, int, int]] = []
         # elements with a hint by name, from 1 on: the one around each, its kind, characters without links in it and in articles
         self.hint = self.named = 0
@@ -102,9 +107,9 @@ class _Lines(HTMLParser):
             return
         aside = tag in ASIDE or (tag == "header" and not self.articles)
         around = self.hint
-        if attrs and not aside and self.hints and tag not in ("html", "body", "article", "main"):
+        if attrs and not aside and tag not in ("html", "body", "main"):
             aside = any(_hidden(k, v or "") for k, v in attrs)
-            kind = _named(attrs, self.articles > 0) if not aside and tag not in HEADINGS else 0
+            kind = 0 if aside else _named(tag, attrs, self.articles > 0)
             if kind:
                 self.hint = len(self.above)
                 self.named += self.hint not in self.ignored
@@ -173,11 +178,11 @@ def page_lines(html: str) -> list[tuple[str, int, int, int]]:
     """(text, tags, link characters, number of the article or 0) of each line that may hold main text.
 
     A page with names that can't be meant so (a wrapper called "with-sidebar") is read again without
-    those; where all names leave nothing, elements alone decide.
+    those.
     """
 
-    def read(hints: bool = True, ignored: frozenset[int] = frozenset()) -> _Lines:
-        parser = _Lines(hints, ignored)
+    def read(ignored: frozenset[int] = frozenset()) -> _Lines:
+        parser = _Lines(ignored)
         parser.feed(html)
         parser.close()
         parser.end_line()
@@ -185,17 +190,15 @@ def page_lines(html: str) -> list[tuple[str, int, int, int]]:
 
     parser = read()
     wrong = parser.wrong_hints()
-    if wrong:
-        parser = read(ignored=wrong)
-    return parser.lines or read(hints=False).lines
+    return read(wrong).lines if wrong else parser.lines
 
 
 def content_lines(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, share: float = 0.25) -> np.ndarray:
     """Which lines are main text.
 
-    On every page the smoothed logarithms of the ratios choose among all lines: one stays if it reaches
-    the border between two clusters, or PROSE, and is not mostly link text; where the clusters are not
-    apart, all such lines do. What stands between chosen lines without a link list, and prose beside
+    On every page the smoothed logarithms of the ratios choose among all lines that are not mostly link
+    text: one stays if it reaches the border between the two clusters of these, or PROSE; where the
+    clusters are not apart, all of them do. What stands between chosen lines without a link list, and prose beside
     them, is kept. An article element that holds a chosen line is completed by its other lines, but for
     link lists. Where articles hold at least half of what is chosen, a line outside them also needs a
     ratio of PROSE of its own.
@@ -213,9 +216,7 @@ def content_lines(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, sh
     smooth, weight = (np.convolve(x, bell)[reach : reach + len(x)] for x in (scale, np.ones(len(scale))))
     smooth = smooth / weight  # the first and last lines have neighbours on one side only
     listed = linked >= 0.8 * size
-    keep = (smooth >= min(border(smooth), np.log1p(PROSE))) & ~listed
-    if not keep.any():
-        keep = ~listed
+    keep = (smooth >= min(border(smooth[~listed]), np.log1p(PROSE))) & ~listed
     keep = joined(keep, ~listed, (ratio >= PROSE) & ~listed)
     return with_articles(keep, article, size - linked, ratio, listed & (smooth < share * scale.mean()))
 
@@ -244,7 +245,10 @@ def joined(keep: np.ndarray, open_: np.ndarray, prose: np.ndarray) -> np.ndarray
 
 
 def with_articles(keep: np.ndarray, article: np.ndarray, size: np.ndarray, ratio: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """Chosen lines, with the rest of the articles they are in and without short lines beside these."""
+    """Chosen lines, with the rest of the articles they are in and without short lines beside these.
+
+    Where all lines of a page are link lists, its articles' are its text.
+    """
     inside = article > 0
     if not keep.any():
         return inside

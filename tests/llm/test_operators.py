@@ -623,6 +623,8 @@ def test_fingerprints_odd_tables(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1.0
     twice = fingerprints.document_fingerprints(table(spark, [(7, "b", None, None), (7, "a", None, None), (None, "c", None, None)])).collect()
     assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in twice) == [(-1, 1), (7, 1), (7, 1)]
+    nameless = fingerprints.document_fingerprints(table(spark, [(None, "c" * 9, None, None), (None, "d" * 9, None, None)])).collect()
+    assert {(r["near_next"], r["edited_sha256"]) for r in nameless} == {(1.0, hashlib.sha256(x * 9).hexdigest()) for x in (b"c", b"d")}
 
 
 # --- language ---
@@ -761,6 +763,9 @@ def test_a_teaser_article_does_not_stand_for_the_page():
         ('<div class="layout with-sidebar"><article><p>%s</p><p>%s</p></article></div><div>Company 2024</div>', []),
         ('<div class="layout with-sidebar"><div><p>%s</p><p>%s</p></div><div class="sidebar"><p>Aside of it all</p></div></div><div><a href=x>Company</a></div>', []),
         ('<article><p>%s</p><p>%s</p></article><div class="comments"><article>' + prose(900, "said") + "</article></div>", []),
+        ('<article><p>%s</p><p>%s</p></article><article class="comment"><p>' + prose(300, "said") + "</p></article>", []),
+        ('<article class="post has-comments"><p>%s</p><p>%s</p><article id="c1" class="depth-1 comment-body">' + prose(300, "said") + "</article></article>", []),
+        ('<article><p class="commentary">%s</p><div class="related-work">%s</div></article>', []),
     ],
 )
 def test_names_that_are_not_meant_as_hints(page, lines):
@@ -777,6 +782,22 @@ def test_paragraphs_without_an_article_stay_whatever_their_neighbours(sizes):
     assert html_text.main_text(page).split("\n") == texts
 
 
+def test_without_its_ratios_the_operator_fails(monkeypatch):
+    """No element and no name tells these lines apart: what is left of them is the ratios' choice."""
+    texts = [prose(280, f"text{k}") for k in range(5)]
+    box = "".join(f"<div><span>tag {k}</span> <b>{k}</b> <a href=/{k}>more {k}</a></div>" for k in range(14))
+    page = box + "".join(f"<p>{t}</p>" for t in texts) + box
+    assert html_text.main_text(page).split("\n") == texts
+    monkeypatch.setattr(html_text.np, "log1p", lambda x: np.zeros_like(np.asarray(x, float)))
+    assert html_text.main_text(page).split("\n") != texts
+
+
+def test_short_paragraphs_between_long_ones_stay():
+    texts = [prose(200), "Yes.", prose(250), "No!", prose(180)]
+    menu = "".join(f"<li><a href=/{k}>link {k}</a></li>" for k in range(9))
+    assert html_text.main_text(f"<ul>{menu}</ul>" + "".join(f"<p>{t}</p>" for t in texts) + f"<ul>{menu}</ul>").split("\n") == texts
+
+
 def test_short_lines_far_from_prose_go():
     texts = [prose(300) for _ in range(6)]
     got = html_text.main_text("".join(f"<div>Menu {k}</div>" for k in range(12)) + "".join(f"<p>{t}</p>" for t in texts)).split("\n")
