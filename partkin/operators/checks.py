@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .resolve import unpivoted
@@ -15,19 +15,19 @@ def _shown_variant() -> Column:
     return F.when(F.col("variant_id") == "", F.lit(NO_VARIANT)).otherwise(F.col("variant_id"))
 
 
-def conflict_values(canonical: DataFrame) -> DataFrame:
+def conflict_values(canonical: DataFrame, attributes: tuple[str, ...] = CONFLICTS) -> DataFrame:
     """Each value of each attribute that a component shows two or more of.
 
     (component_id, ordinal, attribute, value, n_values, row_number, line_id, variants): the earliest
     row that shows the value, and the variants that carry it.
     """
     shown = canonical.withColumn("variant_id", _shown_variant())
-    seen = unpivoted(shown, CONFLICTS, "component_id", "variant_id")
+    seen = unpivoted(shown, {a: CONFLICTS.index(a) for a in attributes}, "component_id", "variant_id")
     value = seen.groupBy("component_id", "ordinal", "attribute", "value").agg(
         F.min(F.struct("row_number", "line_id")).alias("first"), F.array_sort(F.collect_set("variant_id")).alias("variants")
     )
-    several = value.groupBy("component_id", "attribute").agg(F.count(F.lit(1)).alias("n_values")).where("n_values > 1")
-    return value.join(several, ["component_id", "attribute"]).select("component_id", "ordinal", "attribute", "value", "n_values", "first.row_number", "first.line_id", "variants")
+    several = value.withColumn("n_values", F.count(F.lit(1)).over(Window.partitionBy("component_id", "attribute"))).where("n_values > 1")
+    return several.select("component_id", "ordinal", "attribute", "value", "n_values", "first.row_number", "first.line_id", "variants")
 
 
 def usual_spelling(canonical: DataFrame) -> DataFrame:

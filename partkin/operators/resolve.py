@@ -16,32 +16,31 @@ def _value(attribute: str) -> Column:
     return c if attribute == "cost" else F.when(c != "", c)
 
 
-def _nested(designations: Column) -> Column:
-    """Whether the designations' word sets are nested: sorted by size, each within the next."""
-    sets = F.array_sort(F.transform(designations, lambda d: F.struct(F.size(words(d)).alias("n"), words(d).alias("w"))))
-    pairs = F.arrays_zip(F.slice(sets, 1, F.greatest(F.size(sets) - 1, F.lit(0))).alias("a"), F.slice(sets, 2, F.greatest(F.size(sets) - 1, F.lit(0))).alias("b"))
-    return F.forall(pairs, lambda p: F.size(F.array_except(p["a"]["w"], p["b"]["w"])) == 0)
+def _clashes(lines: DataFrame) -> DataFrame:
+    """(child_id, clash): whether two designations of a key have words that the other lacks.
+
+    A key's different designations stand in order of their number of words; all pairs are nested if
+    each is within the next, so no key's designations are ever collected.
+    """
+    different = lines.where((F.col("child_id") != "") & (F.col("designation") != "")).select("child_id", "designation").distinct()
+    read = different.select("child_id", "designation", words(F.col("designation")).alias("words"))
+    before = F.lag("words").over(Window.partitionBy("child_id").orderBy(F.size("words"), "designation"))
+    apart = F.size(F.array_except(F.coalesce(before, F.array().cast("array<string>")), "words")) > 0
+    return read.select("child_id", apart.alias("apart")).groupBy("child_id").agg(F.max("apart").alias("clash"))
 
 
 def groups(lines: DataFrame) -> DataFrame:
-    """(reference_key, verdict, diverging, designations) of each key.
+    """(reference_key, verdict, diverging) of each key.
 
-    An attribute diverges if it shows two readable values, which least and greatest tell without
-    collecting them; only designations are collected, to compare their words.
+    An attribute diverges if it shows two readable values, told by least and greatest of their 64-bit
+    hashes, which need neither sorting nor collecting.
     """
-    found = (
-        lines.where(F.col("child_id") != "")
-        .groupBy(F.col("child_id").alias("reference_key"))
-        .agg(
-            F.array_sort(F.collect_set(_value("designation"))).alias("designations"),
-            *[(F.min(_value(a)) < F.max(_value(a))).alias(f"__{a}") for a in ATTRIBUTES],
-        )
-    )
-    diverging = F.array_compact(F.array(*[F.when(F.col(f"__{a}"), F.lit(a)) for a in ATTRIBUTES]))
-    reject = (F.size("designations") > 1) & ~_nested(F.col("designations"))
-    found = found.withColumn("diverging", diverging)
-    verdict = F.when(reject, F.lit("reject")).when(F.size("diverging") > 0, F.lit("review")).otherwise(F.lit("auto"))
-    return found.select("reference_key", verdict.alias("verdict"), "diverging", "designations")
+    told = {a: F.when(_value(a).isNotNull(), F.xxhash64(a)) for a in ATTRIBUTES}
+    found = lines.where(F.col("child_id") != "").groupBy("child_id").agg(*[(F.min(h) < F.max(h)).alias(f"__{a}") for a, h in told.items()])
+    found = found.join(_clashes(lines), "child_id", "left")
+    found = found.withColumn("diverging", F.array_compact(F.array(*[F.when(F.col(f"__{a}"), F.lit(a)) for a in ATTRIBUTES])))
+    verdict = F.when(F.col("clash"), F.lit("reject")).when(F.size("diverging") > 0, F.lit("review")).otherwise(F.lit("auto"))
+    return found.select(F.col("child_id").alias("reference_key"), verdict.alias("verdict"), "diverging")
 
 
 def canonical_lines(lines: DataFrame, groups_: DataFrame) -> DataFrame:
@@ -49,9 +48,9 @@ def canonical_lines(lines: DataFrame, groups_: DataFrame) -> DataFrame:
 
     A rejected key falls apart by designation, numbered in order of designation; each of its rows
     without one is a part of its own, before the others. Parts are numbered among the distinct
-    parts of a key, not among its rows.
+    parts of a key, not among its rows. Lines carry their key's verdict and diverging attributes.
     """
-    keyed = lines.where(F.col("child_id") != "").join(groups_.select(F.col("reference_key").alias("child_id"), "verdict"), "child_id")
+    keyed = lines.where(F.col("child_id") != "").join(groups_.select(F.col("reference_key").alias("child_id"), "verdict", "diverging"), "child_id")
     keyed = keyed.withColumn("__row", F.when(F.col("designation") == "", F.col("row_number")).otherwise(F.lit(0).cast("long")))
     parts = keyed.where(F.col("verdict") == "reject").select("child_id", "designation", "__row").distinct()
     parts = parts.withColumn("__part", F.dense_rank().over(Window.partitionBy("child_id").orderBy("designation", "__row")))
@@ -80,18 +79,25 @@ def duplicate_references(canonical: DataFrame) -> DataFrame:
     return spelled.join(several, "component_id")
 
 
-def unpivoted(canonical: DataFrame, attributes: tuple[str, ...], *keys: str) -> DataFrame:
-    """One row per line and readable attribute value, as text."""
-    values = F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(a).alias("attribute"), _value(a).cast("string").alias("value")) for k, a in enumerate(attributes)])
-    out = canonical.select(*keys, "row_number", "line_id", F.explode(values).alias("v"))
-    return out.select(*keys, "row_number", "line_id", "v.ordinal", "v.attribute", "v.value").where(F.col("value").isNotNull())
+def unpivoted(canonical: DataFrame, attributes: dict[str, int], *keys: str, diverging: bool = False) -> DataFrame:
+    """One row per line and readable attribute value, as text; ``attributes`` gives each its ordinal.
+
+    With ``diverging`` only attributes that a line's key diverges in.
+    """
+
+    def wanted(a: str) -> Column:
+        return _value(a).isNotNull() & F.array_contains("diverging", a) if diverging else _value(a).isNotNull()
+
+    values = F.array(*[F.when(wanted(a), F.struct(F.lit(k).alias("ordinal"), F.lit(a).alias("attribute"), _value(a).cast("string").alias("value"))) for a, k in attributes.items()])
+    out = canonical.select(*keys, "row_number", "line_id", F.explode(F.array_compact(values)).alias("v"))
+    return out.select(*keys, "row_number", "line_id", "v.ordinal", "v.attribute", "v.value")
 
 
-def group_conflicts(canonical: DataFrame, groups_: DataFrame) -> DataFrame:
+def group_conflicts(canonical: DataFrame) -> DataFrame:
     """(reference_key, row_number, line_id): the earliest row of each value of each diverging attribute."""
-    review = groups_.where(F.col("verdict") == "review").select(F.col("reference_key").alias("child_id"), F.explode("diverging").alias("attribute"))
-    seen = unpivoted(canonical.where(F.col("verdict") == "review"), ATTRIBUTES, "child_id").join(review, ["child_id", "attribute"])
-    first = _evidence(seen, "child_id", "attribute", "value")
+    ordinals = {a: k for k, a in enumerate(ATTRIBUTES)}
+    seen = unpivoted(canonical.where(F.col("verdict") == "review"), ordinals, "child_id", diverging=True)
+    first = _evidence(seen, "child_id", "ordinal", "value")
     return first.select(F.col("child_id").alias("reference_key"), "row_number", "line_id").distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import same_amount
+from ..runtime import cut
 
 
 @dataclass(frozen=True)
@@ -60,31 +61,36 @@ def budget(a: Column, b: Column, t: Thresholds) -> Column:
     return F.least(F.lit(t.max_abs_diff), F.ceil(F.lit(float(t.diff_ratio)) * F.least(a, b).cast("double")).cast("int"))
 
 
-def differing(a: Column, b: Column) -> tuple[Column, Column]:
-    """Parts that only one side has, and shared parts whose amounts differ."""
-    shared = F.size(F.array_intersect(F.transform(a, lambda x: x["c"]), F.transform(b, lambda x: x["c"])))
-    changed = F.size(F.filter(a, lambda x: F.exists(b, lambda y: (y["c"] == x["c"]) & ~same_amount(x["q"], x["u"], y["q"], y["u"]))))
-    return F.size(a) + F.size(b) - 2 * shared, changed
+def with_names(signatures_: DataFrame) -> DataFrame:
+    """``signatures_`` with the names of their components, which comparing reads for every pair."""
+    return signatures_.withColumn("names", F.transform("items", lambda x: x["c"]))
 
 
 def compared(pairs: DataFrame, t: Thresholds) -> DataFrame:
-    """``pairs`` (with items a, the ancestor's, and b, the target's) with n_parts, n_qty and reuse_class."""
-    parts, changed = differing(F.col("a"), F.col("b"))
+    """``pairs`` with n_parts, n_qty and reuse_class; a and a_names are the ancestor's, b and b_names the target's.
+
+    Items that are equal altogether are counted by an intersection; only where shared parts are not
+    all equal are their amounts looked at one by one.
+    """
     allowed = budget(F.size("a"), F.size("b"), t)
-    out = pairs.withColumn("n_parts", parts).where(F.col("n_parts") <= allowed).withColumn("n_qty", changed)
+    shared = F.size(F.array_intersect("a_names", "b_names"))
+    out = pairs.withColumn("__shared", shared).withColumn("n_parts", F.size("a") + F.size("b") - 2 * F.col("__shared"))
+    out = out.where(F.col("n_parts") <= allowed)
+    changed = F.size(F.filter("a", lambda x: F.exists("b", lambda y: (y["c"] == x["c"]) & ~same_amount(x["q"], x["u"], y["q"], y["u"]))))
+    out = out.withColumn("n_qty", F.when(F.size(F.array_intersect("a", "b")) == F.col("__shared"), F.lit(0)).otherwise(changed)).drop("__shared")
     kind = F.when((F.col("n_parts") == 0) & (F.col("n_qty") == 0), F.lit("reused")).when((F.col("n_parts") <= allowed) & (F.col("n_qty") <= allowed), F.lit("reusable")).otherwise(F.lit("specific"))
     return out.withColumn("reuse_class", kind)
 
 
-def _blocking(sigs: DataFrame, t: Thresholds) -> DataFrame:
-    """``sigs`` with a row for each key that any signature within the budget shares.
+def _blocking(sigs: DataFrame, id_: str, t: Thresholds) -> DataFrame:
+    """(key, id, n): a row for each key that any signature within the budget shares; n is the size.
 
     Small ones share a set of components left when each has lost at most its own budget; large ones,
-    whose subsets would be many, share one of their first budget + 1 components in hash order. Sizes
-    around the border take both, since alike signatures differ in size by the budget at most.
+    whose subsets would be many, share two of their first budget + 2 components in hash order, since
+    each lacks at most budget of the other's. Sizes around the border take both, since alike
+    signatures differ in size by the budget at most.
     """
-    names = F.transform("items", lambda x: x["c"])
-    sized = sigs.withColumn("names", names).withColumn("n", F.size("items"))
+    sized = sigs.select(id_, F.transform("names", lambda x: F.xxhash64(x)).alias("names")).withColumn("n", F.size("names"))
     own = F.least(F.lit(t.max_abs_diff), F.ceil(F.lit(float(t.diff_ratio)) * F.col("n").cast("double")).cast("int"))
     small = sized.where(F.col("n") <= DELETIONS_UP_TO + t.max_abs_diff).withColumn("own", own).withColumn("left", F.array("names"))
     for k in range(t.max_abs_diff):
@@ -92,9 +98,10 @@ def _blocking(sigs: DataFrame, t: Thresholds) -> DataFrame:
         small = small.withColumn("left", F.when(F.col("own") > k, F.array_distinct(F.concat("left", fewer))).otherwise(F.col("left")))
     keys = F.transform("left", lambda s: F.xxhash64(F.lit(0), s))
     small = small.withColumn("key", F.explode(F.array_distinct(keys)))
-    ordered = F.transform(F.array_sort(F.transform("names", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: F.xxhash64(F.lit(1), s["x"]))
-    large = sized.where(F.col("n") > DELETIONS_UP_TO).withColumn("key", F.explode(F.slice(ordered, 1, t.max_abs_diff + 1)))
-    return small.select(*sigs.columns, "key").unionByName(large.select(*sigs.columns, "key"))
+    large = sized.where(F.col("n") > DELETIONS_UP_TO).withColumn("first", F.slice(F.array_sort("names"), 1, t.max_abs_diff + 2))
+    pairs = F.flatten(F.transform("first", lambda x: F.transform(F.filter("first", lambda y: y > x), lambda y: F.xxhash64(F.lit(1), x, y))))
+    large = large.withColumn("key", F.explode(pairs))
+    return small.select("key", id_, "n").unionByName(large.select("key", id_, "n"))
 
 
 def chronology(variants: DataFrame) -> DataFrame:
@@ -112,24 +119,24 @@ def backtest(sigs: DataFrame, variants: DataFrame, t: Thresholds = Thresholds())
     The best ancestor is the one of the better class, then of fewer differences, then of the smaller
     id; "" where there is none. An empty signature is specific. Ancestors that are equal item for
     item are one candidate, under their smallest id. Equal ones are found by their items, all others
-    through shared blocking keys, so no pair is looked at that can't be alike.
+    through shared blocking keys, so no pair is looked at that can't be alike. Only numbers travel to
+    find the pairs; items are fetched for the different ones.
     """
-    # both sides and both ways of matching read the signatures: they are computed once, and kept in
-    # memory or on disk; what an executor loses is computed again
-    rows = sigs.join(F.broadcast(chronology(variants)), "variant_id").persist()
-    target = rows.where(F.col("role") == "target").select("sub_assembly_id", "variant_id", "items")
-    older = rows.where((F.col("role") == "ancestor") & (F.size("items") > 0))
-    older = older.groupBy("items").agg(F.min("sub_assembly_id").alias("ancestor_id"))
+    rows = with_names(cut(sigs.join(chronology(variants), "variant_id")))
+    older = rows.where((F.col("role") == "ancestor") & (F.size("items") > 0)).groupBy("items").agg(F.min("sub_assembly_id").alias("ancestor_id"))
+    older = with_names(cut(older.withColumn("aid", F.monotonically_increasing_id())))
+    target = rows.where(F.col("role") == "target").select("sub_assembly_id", "variant_id", "items", "names")
     same = target.join(older.select("items", F.col("ancestor_id").alias("same_id")), "items", "left")
-    rest = same.where(F.col("same_id").isNull() & (F.size("items") > 0)).select("sub_assembly_id", F.col("items").alias("items"))
-    left = _blocking(rest, t).select("key", "sub_assembly_id", F.col("items").alias("b"))
-    right = _blocking(older, t).select("key", "ancestor_id", F.col("items").alias("a"))
-    pairs = left.join(right, "key").where(F.abs(F.size("a") - F.size("b")) <= budget(F.size("a"), F.size("b"), t))
-    pairs = pairs.dropDuplicates(["sub_assembly_id", "ancestor_id"]).drop("key")
+    same = cut(same.withColumn("tid", F.monotonically_increasing_id()))
+    rest = same.where(F.col("same_id").isNull() & (F.size("items") > 0))
+    left, right = _blocking(rest, "tid", t), _blocking(older, "aid", t).withColumnRenamed("n", "m")
+    pairs = left.join(right, "key").where(F.abs(F.col("n") - F.col("m")) <= budget(F.col("n"), F.col("m"), t)).select("tid", "aid").distinct()
+    pairs = pairs.join(rest.select("tid", F.col("items").alias("b"), F.col("names").alias("b_names")), "tid")
+    pairs = pairs.join(older.select("aid", "ancestor_id", F.col("items").alias("a"), F.col("names").alias("a_names")), "aid")
     near = compared(pairs, t).where(F.col("reuse_class") != "specific")
     rank = F.when(F.col("reuse_class") == "reused", 0).otherwise(1)
-    best = near.groupBy("sub_assembly_id").agg(F.min(F.struct(rank.alias("rank"), (F.col("n_parts") + F.col("n_qty")).alias("total"), "ancestor_id", "n_parts", "n_qty")).alias("m"))
-    out = same.join(best, "sub_assembly_id", "left")
+    best = near.groupBy("tid").agg(F.min(F.struct(rank.alias("rank"), (F.col("n_parts") + F.col("n_qty")).alias("total"), "ancestor_id", "n_parts", "n_qty")).alias("m"))
+    out = same.join(best, "tid", "left")
     kind = F.when(F.col("same_id").isNotNull() | (F.col("m.rank") == 0), F.lit("reused")).when(F.col("m").isNotNull(), F.lit("reusable")).otherwise(F.lit("specific"))
     return out.select(
         "sub_assembly_id",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import baselines, checks, evaluate, normalize as N, notes as O, resolve as R, signatures as S
+from ..runtime import cut
 from ..sources.raw import Raw
 
 # Both dialects read these three views alike.
@@ -69,11 +70,14 @@ FROM part
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view's SQL with its tables read from the directory; no catalog entry is left behind."""
+    """A view's SQL with its tables read from the directory; no catalog entry is left behind.
+
+    Line items are dealt by order first: both joins on orders then find them where they are, and a
+    file of one row group keeps more than one core busy.
+    """
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "part", "supplier") if t in sql}
-    cores = spark.sparkContext.defaultParallelism
-    if "lineitem" in tables and len(tables["lineitem"].inputFiles()) < cores:  # one small file would keep one core busy
-        tables["lineitem"] = tables["lineitem"].repartition(cores, "l_orderkey")
+    if "lineitem" in tables:
+        tables["lineitem"] = tables["lineitem"].repartition("l_orderkey")
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
     return spark.sql(sql, **tables)
@@ -83,12 +87,18 @@ def _raw(spark: SparkSession, sf_dir: str, bom: str) -> Raw:
     return Raw(_view(spark, sf_dir, VARIANTS_VIEW), _view(spark, sf_dir, bom), _view(spark, sf_dir, NOTES_VIEW))
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> N.Dataset:
-    return N.normalize(_raw(spark, sf_dir, PARTS_VIEW), compose=False)
+def _read(spark: SparkSession, sf_dir: str, view: str) -> N.Dataset:
+    return N.normalize(_raw(spark, sf_dir, view), compose=False)
 
 
-def _bom(spark: SparkSession, sf_dir: str) -> N.Dataset:
-    return N.normalize(_raw(spark, sf_dir, BOM_VIEW), compose=False)
+def _cut(spark: SparkSession, sf_dir: str, view: str) -> N.Dataset:
+    """The same with its lines computed once, for queries that read them several times."""
+    d = _read(spark, sf_dir, view)
+    return N.Dataset(d.variants, cut(d.lines.drop("raw", "sub_assembly_ref_raw", "supplier_raw", "sub_assembly_designation")), d.notes, d.issues)
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> N.Dataset:
+    return _read(spark, sf_dir, PARTS_VIEW)
 
 
 def _resolved(d: N.Dataset) -> tuple[DataFrame, DataFrame]:
@@ -96,6 +106,10 @@ def _resolved(d: N.Dataset) -> tuple[DataFrame, DataFrame]:
     return g, R.canonical_lines(d.lines, g)
 
 
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(_cut(spark, sf_dir, PARTS_VIEW))[1]
+
+
 def _joined(c: str) -> Column:
     return F.array_join(c, "|")
 
@@ -142,49 +156,48 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.groups(_parts(spark, sf_dir).lines).select("reference_key", "verdict", _joined("diverging").alias("diverging"))
+    return R.groups(_cut(spark, sf_dir, PARTS_VIEW).lines).select("reference_key", "verdict", _joined("diverging").alias("diverging"))
 
 
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.verdict_counts(R.groups(_parts(spark, sf_dir).lines))
+    return checks.verdict_counts(R.groups(_cut(spark, sf_dir, PARTS_VIEW).lines))
 
 
 def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(_parts(spark, sf_dir))[1].select("row_number", "line_id", "component_id")
+    return _canonical(spark, sf_dir).select("row_number", "line_id", "component_id")
 
 
 def duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.duplicate_references(_resolved(_parts(spark, sf_dir))[1]).select("component_id", "component_ref_raw", "row_number", "spellings")
+    return R.duplicate_references(_canonical(spark, sf_dir)).select("component_id", "component_ref_raw", "row_number", "spellings")
 
 
 def group_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, c = _resolved(_parts(spark, sf_dir))
-    return R.group_conflicts(c, g).select("reference_key", "row_number", "line_id")
+    return R.group_conflicts(_canonical(spark, sf_dir)).select("reference_key", "row_number", "line_id")
 
 
 def group_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.group_splits(_resolved(_parts(spark, sf_dir))[1]).select("reference_key", "component_id", "row_number")
+    return R.group_splits(_canonical(spark, sf_dir)).select("reference_key", "component_id", "row_number")
 
 
 def _conflicts(attribute: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = checks.conflict_values(_resolved(_parts(spark, sf_dir))[1]).where(F.col("attribute") == attribute)
+        found = checks.conflict_values(_canonical(spark, sf_dir), (attribute,))
         return found.select("component_id", "row_number", "n_values", _joined("variants").alias("variants"))
 
     return run
 
 
 def signature_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.signature_items(_resolved(_parts(spark, sf_dir))[1]).select("sub_assembly_id", "component_id", "unit", F.round("quantity", 6).alias("quantity"), "lines")
+    return S.signature_items(_canonical(spark, sf_dir)).select("sub_assembly_id", "component_id", "unit", F.round("quantity", 6).alias("quantity"), "lines")
 
 
 def lines_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _parts(spark, sf_dir)
+    d = _cut(spark, sf_dir, PARTS_VIEW)
     return S.lines_left_out(d.lines, S.signature_items(_resolved(d)[1]))
 
 
 def _bom_items(spark: SparkSession, sf_dir: str) -> tuple[N.Dataset, DataFrame]:
-    d = _bom(spark, sf_dir)
+    d = _cut(spark, sf_dir, BOM_VIEW)
     return d, S.signature_items(_resolved(d)[1])
 
 
@@ -229,7 +242,7 @@ def note_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    canonical = _resolved(_parts(spark, sf_dir))[1]
+    canonical = cut(_canonical(spark, sf_dir))
     return O.link(O.note_facts(_view(spark, sf_dir, NOTES_VIEW)), canonical), canonical
 
 

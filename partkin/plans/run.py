@@ -142,7 +142,7 @@ def _bom_rows(rows: list[dict[str, Any]]) -> list[tuple[str, int, str]]:
 def findings(r: Result, resolved: dict[str, Any], told: dict[str, Any]) -> list[dict[str, Any]]:
     """All findings, in order: by group, then by component and attribute, then by fact."""
     duplicates = _grouped(_rows(resolve.duplicate_references(r.canonical)), "component_id")
-    conflicts = _grouped(_rows(resolve.group_conflicts(r.canonical, r.groups)), "reference_key")
+    conflicts = _grouped(_rows(resolve.group_conflicts(r.canonical)), "reference_key")
     splits = _grouped(_rows(resolve.group_splits(r.canonical)), "reference_key")
     out = []
     for g in resolved["groups"]:

@@ -1,12 +1,16 @@
-"""What a session needs before Python code of this package runs on executors."""
+"""What a session needs: this package on its executors, and a shared folder where lineage is cut."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +27,29 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_folder(context: SparkContext) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where none is set, a local one is made if driver and executors are one process, as in tests; on a
+    cluster that is an error.
+    """
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="partkin-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder.
+
+    Files go when Spark finds the result unreachable, if it is set to clean checkpoints.
+    """
+    shared_folder(df.sparkSession.sparkContext)
+    return df.checkpoint(eager=True)

@@ -52,7 +52,7 @@ def test_transposition_stays_apart(spark):
 def test_review(spark, change, attribute):
     _, g, c = resolved(spark, [line(1), line(2, **change)])
     assert verdicts(g) == {"BG12031": ("review", [attribute])}
-    assert [r["row_number"] for r in R.group_conflicts(c, g).orderBy("row_number").collect()] == [1, 2]
+    assert [r["row_number"] for r in R.group_conflicts(c).orderBy("row_number").collect()] == [1, 2]
 
 
 def test_agreement_after_normalization(spark):
