@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,10 @@ BUCKET_BYTES = 2_000_000
 COUNTERS = 1 << 16
 #: Segments of one digit that a bucket takes anyway; beyond, a digit of more than 4 N / COUNTERS is split.
 LEAST = 20_000
+#: Text that is cut up at a time, in arrays of eight bytes a position.
+STEP_BYTES = 1 << 19
 #: Text that a task holds at a time when it visits documents, and windows that it refines at a time.
-HELD_BYTES, HELD_WINDOWS = 1 << 23, 1 << 20
+HELD_BYTES, HELD_WINDOWS = 1 << 23, 1 << 19
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ROOT = 0x9FB21C651E98DF25
 _LOW = np.uint64(0xFFFFFF)
@@ -55,6 +58,18 @@ def _power(k: int) -> np.uint64:
     return np.uint64(pow(_ROOT, k, 1 << 64))
 
 
+@lru_cache(maxsize=None)
+def _power_table(sign: int, size: int) -> np.ndarray:
+    out = np.full(size, _power(sign), np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _powers(sign: int, n: int) -> np.ndarray:
+    """The first n powers of the root, or of its inverse."""
+    return _power_table(sign, 1 << max(12, int(n - 1).bit_length()))[:n]
+
+
 def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """The mixed hash of the ``size`` bytes from each position on, by doubling."""
     part, have, done = _BYTE[data], 1, None
@@ -145,10 +160,9 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int, common: t
         shift = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         anchor, key, begin, windows, single = (np.repeat(x, times) for x in (anchor, key, begin, windows, single))
         begin, windows = begin + shift, np.where(single, 1, windows)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), _power(1))]), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes ^ _TURN) * power[:-1], dtype=np.uint64)])
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), np.uint64(pow(_ROOT, -1, 1 << 64)))]), dtype=np.uint64)
-    content = (sums[begin + windows + length - gram] - sums[begin]) * inverse[begin]  # the same wherever the run stands
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix64(hashes ^ _TURN) * _powers(1, len(hashes)), dtype=np.uint64, out=sums[1:])
+    content = (sums[begin + windows + length - gram] - sums[begin]) * _powers(-1, len(hashes))[begin]  # the same wherever the run stands
     content = mix64(content + windows.astype(np.uint64))
     key = np.where(single, mix64(content ^ _TURN), key)
     row = row[begin]
@@ -242,7 +256,7 @@ def _segments_of(batch: pa.RecordBatch, length: int, gram: int, common: tuple[np
     data, at = utf8(batch.column("text"))
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
     found: list[list[np.ndarray]] = [[] for _ in _COLUMNS[_SEGMENTS]]
-    for a, b in steps(at):
+    for a, b in steps(at, STEP_BYTES):
         got = list(segments(data[at[a] : at[b]], at[a : b + 1] - at[a], length, gram, common))
         got[2] = ids[a:b][got[2]]
         for k, t in enumerate(_COLUMNS[_SEGMENTS]):
@@ -260,35 +274,40 @@ def summary(keys: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.nda
     return keys, counts
 
 
-def _count(length: int, gram: int, common: tuple[np.ndarray, ...], counters: int) -> object:
-    """A task's most frequent digits, and under null how many segments it has; equal ones of a batch count once."""
+def _count(length: int, gram: int, common: tuple[np.ndarray, ...], counters: int, floor: float) -> object:
+    """A task's most frequent digits; equal segments of a batch count once.
+
+    A count of ``floor`` a byte of the task's text or less isn't told, so that what all tasks keep to
+    themselves is at most ``floor`` times the bytes of all texts, and what they tell is little.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        keys, counts, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
             anchor, content, *_ = _segments_of(batch, length, gram, common)
+            size += len(utf8(batch.column("text"))[0])
             order = np.lexsort((content, anchor))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)
-            total += int(new.sum())
             keys, counts = summary(np.concatenate([keys, anchor[order[new]]]), np.concatenate([counts, np.ones(int(new.sum()), np.int64)]), counters)
-        digits = pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(1, pa.int64())])
-        yield pa.RecordBatch.from_arrays([digits, pa.array(np.append(counts, total))], ["digit", "n"])
+        told = counts > floor * size
+        yield pa.RecordBatch.from_arrays([pa.array(keys[told].view(np.int64)), pa.array(counts[told])], ["digit", "n"])
 
     return run
 
 
-def too_common(docs: DataFrame, length: int, gram: int, counters: int, least: int) -> tuple[np.ndarray, ...]:
+def too_common(docs: DataFrame, total: int, length: int, gram: int, counters: int, least: int) -> tuple[np.ndarray, ...]:
     """The digits with more segments than one task should take: first anchors, then the strings around those.
 
-    The driver gets at most ``counters`` / 3 of either, since each has 3 / ``counters`` of all segments.
+    ``total`` is the bytes of all texts, which have a segment about every (length - gram) / 2 bytes.
+    All digits of more than ``limit`` segments are found: summaries lose a quarter of that at most,
+    and tasks keep as much to themselves. The driver gets about ``counters`` / 2 of either at most.
     """
+    limit = max(least, 4 * (2 * total // (length - gram)) // counters)
     common: tuple[np.ndarray, ...] = ()
     for _ in range(2):
-        counted = cut(docs.mapInArrow(_count(length, gram, common, counters), "digit long, n long")).groupBy("digit").agg(F.sum("n").alias("n"))
-        total = counted.where("digit IS NULL").first()
-        limit = max(least, 3 * (total["n"] if total else 0) // counters)
-        found = counted.where(F.col("digit").isNotNull() & (F.col("n") > limit)).collect()
+        counted = docs.mapInArrow(_count(length, gram, common, counters, limit / 4 / max(total, 1)), "digit long, n long")
+        found = counted.groupBy("digit").agg(F.sum("n").alias("n")).where(F.col("n") > limit / 2).collect()
         common = (*common, np.sort(np.array([r["digit"] for r in found], np.int64).view(np.uint64)))
         if not found:
             break
@@ -571,22 +590,21 @@ def substring_dedup(
     null ids take no part and keep their bytes. Where a doc_id has several texts, each is told from
     the others by its bytes alone: what one of them loses, all of them may lose at the same place.
     Segments are found equal by two 64-bit hashes, refined windows by their bytes. A digit that has
-    more than ``least`` segments and 4 / ``counters`` of all of them is split (see the module).
+    more than ``least`` segments and 4 / ``counters`` of all is split (see the module).
     Extra columns are ignored.
     """
     if not gram < length <= gram + 255:
         raise ValueError("length must exceed gram, by at most 255")
     n = partitions(docs)
     docs = docs.select(integer_id(docs), F.coalesce("text", F.lit("")).alias("text"))
-    if buckets is None:  # by the bytes to tell apart, so that a batch has many rows for each bucket
-        total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-        buckets = max(1, -(-total // BUCKET_BYTES))
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = buckets or max(1, -(-total // BUCKET_BYTES))  # by the bytes to tell apart
 
     def dealt(values: DataFrame, *order: str) -> DataFrame:
         return values.repartition(n, "bucket").sortWithinPartitions(*order)
 
     named = docs.where(F.col("doc_id").isNotNull())
-    common = too_common(named, length, gram, counters, least)
+    common = too_common(named, total, length, gram, counters, least)
     known = cut(dealt(named.mapInArrow(_cut_up(length, gram, buckets, common), SCHEMA), "kind", "bucket").mapInArrow(_settle(buckets), SCHEMA))
 
     texts = docs.mapInArrow(_ship(buckets), SCHEMA)

@@ -323,7 +323,7 @@ def test_substring_dedup_splits_what_is_too_common(spark, least):
     rows |= {100 + k: words(rng, 5) + rows[k][60:400] + words(rng, 5) + mark + "é" * 60 for k in range(0, 60, 7)}
     docs = table(spark, [(i, t, "en", "s") for i, t in rows.items()])
     named = docs.select("doc_id", "text")
-    anchors, strings = (*substring_dedup.too_common(named, 100, 24, 1 << 16, least), ())[:2]
+    anchors, strings = (*substring_dedup.too_common(named, 40_000, 100, 24, 1 << 16, least), ())[:2]
     assert len(anchors) > 0 and (least > 3 or len(strings) > 0)
     got = by_id(substring_dedup.substring_dedup(docs, least=least))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == removed_bytes(rows, 100)
