@@ -8,14 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What counts as white space (that of Unicode's White_Space and the four ASCII separators).
-WS = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
 # Units, their base unit, and the power of ten that converts to it.
 UNITS = {"pcs": ("pcs", ""), "units": ("pcs", ""), "unit": ("pcs", ""), "u": ("pcs", ""), "m": ("m", ""), "mm": ("m", "e-3"), "kg": ("kg", ""), "g": ("kg", "e-3")}
 NUMBER = r"\A[0-9]+(?:[.,][0-9]+)?\z"
 
 
-# The same, one by one, for trimming without a pattern.
+# What counts as white space (that of Unicode's White_Space and the four ASCII separators).
 WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -30,17 +28,29 @@ def readable(c: Column) -> Column:
 
 def casefold(c: Column) -> Column:
     """Python's case folding, for the letters of European languages."""
-    return F.translate(F.lower(F.regexp_replace(c, "[ßẞ]", "ss")), "ſµς", "sμσ")
+    two = F.replace(F.replace(c, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+    return F.translate(F.lower(two), "ſµς", "sμσ")
+
+
+#: ASCII characters that are neither letters nor digits.
+_ASCII_SIGNS = "".join(chr(k) for k in range(128) if not chr(k).isalnum())
 
 
 def reference_key(c: Column) -> Column:
-    """Upper case, then O, I and L read as 0, 1 and 1, then letters and digits alone."""
-    return F.regexp_replace(F.translate(F.upper(c), "OIL", "011"), r"[^\p{L}\p{N}]", "")
+    """Upper case, then O, I and L read as 0, 1 and 1, then letters and digits alone.
+
+    ASCII cells, which most are, need no pattern.
+    """
+    ascii_ = F.octet_length(c) == F.length(c)
+    plain = F.translate(F.upper(c), "OIL" + _ASCII_SIGNS, "011")
+    return F.when(ascii_, plain).otherwise(F.regexp_replace(F.translate(F.upper(c), "OIL", "011"), r"[^\p{L}\p{N}]", ""))
 
 
 def text_key(c: Column) -> Column:
-    """White space to single spaces, case folded."""
-    return casefold(strip(F.regexp_replace(c, rf"{WS}+", " ")))
+    """White space to single spaces, case folded; only cells with two spaces in a row need a pattern."""
+    spaced = F.translate(c, WS_CHARS, " " * len(WS_CHARS))
+    single = F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
+    return casefold(F.trim(single))
 
 
 def variant_key(c: Column) -> Column:
