@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import csv
-import glob
-import os
+import io
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..runtime import ship
+from ..runtime import cut, ship
 
 # The files, their columns, and the column that identifies a row.
 VARIANTS = ("variant_id", "name", "design_date", "region", "seats", "bike_spaces", "traction")
@@ -40,80 +41,75 @@ def schema_of(columns: tuple[str, ...]) -> StructType:
     return StructType([*[StructField(c, StringType(), False) for c in columns], StructField("row_number", LongType(), False)])
 
 
-def read_rows(path: str, columns: tuple[str, ...]) -> Iterator[tuple]:
-    """Rows of a ``;`` file: exact header, exact cell counts, quoting strict, cells as they are."""
-    name = os.path.basename(path)
-    try:
-        with open(path, encoding="utf-8", newline="") as handle:
-            rows = csv.reader(handle, delimiter=";", strict=True)
-            header = next(rows, None)
-            if header is None or tuple(header) != columns:
-                raise IngestError(f"{name}: the header is {header}, not {list(columns)}")
-            for number, cells in enumerate(rows, 1):
-                if len(cells) != len(columns):
-                    raise IngestError(f"{name}: row {number} has {len(cells)} cells, not {len(columns)}")
-                yield (*cells, number)
-    except FileNotFoundError as e:
-        raise IngestError(f"{name}: not found at {path}") from e
-    except (OSError, UnicodeDecodeError, csv.Error) as e:
-        raise IngestError(f"{name}: can't be read: {e}") from e
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, columns: tuple[str, ...]) -> None:
-        self.path, self.columns = path, columns
-
-    def partitions(self) -> list[InputPartition]:
-        # logical rows may span lines, so a file is read by one task; several files by several
-        return [InputPartition(p) for p in sorted(glob.glob(self.path)) or [self.path]]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return read_rows(partition.value, self.columns)
+def parse(content: bytes, columns: tuple[str, ...]) -> list[list[str]]:
+    """The records of a ``;`` file under its header, cells as they are; ValueError says what is wrong with it.
 
+    The header is exactly ``columns``, every record has as many cells, and quoting is strict. A record
+    may span lines.
+    """
+    csv.field_size_limit(sys.maxsize)
+    try:
+        records = [*csv.reader(io.StringIO(content.decode("utf-8"), newline=""), delimiter=";", strict=True)]
+    except UnicodeDecodeError as problem:
+        raise ValueError(f"can't be read as UTF-8 at byte {problem.start}") from None
+    except csv.Error as problem:
+        raise ValueError(f"can't be read as CSV: {problem}") from None
+    if records[:1] != [list(columns)]:
+        raise ValueError(f"has the header {records[0] if records else None} in place of {list(columns)}")
+    odd = [(k, len(cells)) for k, cells in enumerate(records) if len(cells) != len(columns)]
+    if odd:
+        raise ValueError(f"has {odd[0][1]} cells in row {odd[0][0]} in place of {len(columns)}")
+    return records[1:]
 
-class StrictCsv(DataSource):
-    """``spark.read.format("strict_csv").option("columns", "a,b").load(path)``."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "strict_csv"
+def read_csv(spark: SparkSession, path: str | Path, columns: tuple[str, ...]) -> DataFrame:
+    """The rows of one file, or of all files of a folder, with their numbers in the file.
 
-    def _columns(self) -> tuple[str, ...]:
-        return tuple(self.options["columns"].split(","))
+    Files are read by Spark, so they may lie wherever it reads from; since records may span lines, a
+    file is parsed by one task, and several by several.
+    """
+    names = [*columns, "row_number"]
 
-    def schema(self) -> StructType:
-        return schema_of(self._columns())
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    records = parse(content, columns)
+                except ValueError as problem:
+                    raise IngestError(f"{place.rpartition('/')[2]}: {problem}") from None
+                for low in range(0, len(records), 10_000):
+                    part = records[low : low + 10_000]
+                    cells = [pa.array(c, pa.string()) for c in zip(*part, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*cells, pa.array(range(low + 1, low + 1 + len(part)), pa.int64())], names)
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self._columns())
+    files = ship(spark).read.format("binaryFile").load(str(path)).select("path", "content")
+    return files.mapInArrow(rows, schema_of(columns))
 
 
-def read_csv(spark: SparkSession, path: str | Path, columns: tuple[str, ...]) -> DataFrame:
-    ship(spark).dataSource.register(StrictCsv)
-    return spark.read.format("strict_csv").option("columns", ",".join(columns)).load(str(path))
+def repeated(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, first, last): identifiers, exactly as written, that stand in several rows, and the numbers of the outermost."""
+    found = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("row_number").alias("first"), F.max("row_number").alias("last"))
+    return found.where("n > 1")
 
 
 def check_unique(df: DataFrame, column: str, file: str) -> None:
-    """Raises if an identifier, exactly as written, stands in two rows."""
-    twice = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min("row_number").alias("a"), F.max("row_number").alias("b")).where("n > 1").orderBy("a").first()
+    """Raises if an identifier stands in two rows."""
+    twice = repeated(df, column).orderBy("first").first()
     if twice:
-        raise IngestError(f"{file}: {column} {twice[0]!r} stands in rows {twice['a']} and {twice['b']}")
+        raise IngestError(f"{file}: {column} {twice['value']!r} stands in rows {twice['first']} and {twice['last']}")
 
 
 def read_raw(spark: SparkSession, raw_dir: str | Path) -> Raw:
     """The raw directory as tables; every constraint is checked before anything is returned."""
-    from pyspark.errors import PySparkException
-
     tables = {}
     for file, columns in FILES.items():
-        tables[file] = read_csv(spark, Path(raw_dir) / file, columns).cache()
         try:
-            tables[file].count()
-        except PySparkException as e:
-            said = next((x.split("IngestError:", 1)[1].strip() for x in str(e).splitlines() if "IngestError:" in x), None)
-            if said is None:
+            tables[file] = cut(read_csv(spark, f"{raw_dir}/{file}", columns))
+        except PySparkException as problem:
+            said = next((x.split("IngestError:", 1)[1].strip() for x in str(problem).splitlines() if "IngestError:" in x), None)
+            if said is None and "PATH_NOT_FOUND" not in str(problem):
                 raise
-            raise IngestError(said) from None
+            raise IngestError(said or f"{file}: there is none in {raw_dir}") from None
         check_unique(tables[file], columns[0], file)
     return Raw(*tables.values())
 
