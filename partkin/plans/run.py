@@ -1,7 +1,7 @@
 """The whole run: raw directory to tables, findings and predictions, and their artifacts.
 
-Tables stay DataFrames until an artifact is written; artifacts describe one company's parts, so they
-are collected and rendered on the driver. At scale the tables of ``Result`` are the product.
+Tables stay DataFrames, and ``write_tables`` keeps them as Parquet whatever their size. The JSON
+artifacts describe one company's parts, so they are collected and rendered on the driver.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, notes as notes_op, resolve, signatures as sig
-from ..operators.model_reader import Backend, read_notes
+from ..operators import baselines, checks, findings as findings_op, notes as notes_op, resolve, signatures as sig
 from ..operators.normalize import Dataset, components, normalize, sub_assemblies, suppliers
-from ..schemas import CONFLICT_RULES, DUPLICATE_REFERENCE, GROUP_CONFLICT, GROUP_SPLIT, KINDS, NOTE_RULES, Rule
+from ..operators.notes import KeywordReader, NoteReader
+from ..runtime import cut
+from ..schemas import CONFLICT_RULES, DUPLICATE_REFERENCE, GROUP_CONFLICT, GROUP_SPLIT, KINDS, NOTE_RULES
 from ..sources import artifacts as A
 from ..sources.raw import Raw, read_raw
 
@@ -32,32 +33,43 @@ class Result:
     items: DataFrame
     signatures: DataFrame
     predictions: DataFrame
+    findings: DataFrame
     reader: str
+    notes_read: int
     invalid: int
 
 
-def analyse(spark: SparkSession, raw: Raw, thresholds: sig.Thresholds, backend: Backend | None = None) -> Result:
-    """Everything between the raw tables and the artifacts, lazily; what is used often is kept."""
+def analyse(raw: Raw, thresholds: sig.Thresholds, reader: NoteReader | None = None) -> Result:
+    """Everything between the raw tables and the artifacts; what is used often is computed once and kept."""
     read = normalize(raw)
-    d = Dataset(read.variants, read.lines.persist(), read.notes, read.issues)
-    groups = resolve.groups(d.lines).persist()
-    canonical = resolve.canonical_lines(d.lines, groups).persist()
-    invalid = 0
-    if backend is None:
-        facts = notes_op.note_facts(d.notes)
-    else:
-        facts, bad = read_notes(d.notes, backend)
-        invalid = bad.agg(F.sum("invalid")).first()[0] or 0
-    items = sig.signature_items(canonical).persist()
+    d = Dataset(read.variants, cut(read.lines), read.notes, read.issues)
+    groups = cut(resolve.groups(d.lines))
+    canonical = cut(resolve.canonical_lines(d.lines.drop("raw"), groups))
+    told = notes_op.extract(d.notes, reader or KeywordReader())
+    items = cut(sig.signature_items(canonical))
     placed = sig.signatures(items)
     # a sub-assembly none of whose lines names a component has an empty signature
     empty = d.lines.where(F.col("parent_id") != "").select(F.col("parent_id").alias("sub_assembly_id"), "variant_id").distinct()
     all_ = empty.join(placed.drop("variant_id"), "sub_assembly_id", "left").withColumn("items", F.coalesce("items", F.array().cast(placed.schema["items"].dataType)))
-    return Result(raw, d, groups, canonical, facts, notes_op.link(facts, canonical), items, all_, sig.backtest(all_, d.variants, thresholds).persist(), "keyword" if backend is None else backend.model, invalid)
+    linked = cut(notes_op.link(told.facts, canonical))
+    return Result(
+        raw, d, groups, canonical, told.facts, linked, items, all_, cut(sig.backtest(all_, d.variants, thresholds)),
+        cut(findings_op.findings(canonical, linked)), told.reader, told.notes_read, told.invalid_outputs,
+    )
 
 
-def run(spark: SparkSession, raw_dir: str | Path, thresholds: sig.Thresholds, backend: Backend | None = None) -> Result:
-    return analyse(spark, read_raw(spark, raw_dir), thresholds, backend)
+def run(spark: SparkSession, raw_dir: str | Path, thresholds: sig.Thresholds, reader: NoteReader | None = None) -> Result:
+    return analyse(read_raw(spark, raw_dir), thresholds, reader)
+
+
+def write_tables(result: Result, folder: str) -> None:
+    """The product at any size: each table as Parquet, written where its rows are."""
+    tables = {
+        "lines": result.dataset.lines, "issues": result.dataset.issues, "groups": result.groups, "canonical": result.canonical, "facts": result.linked,
+        "items": result.items, "predictions": result.predictions, "findings": result.findings,
+    }
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
 def _rows(df: DataFrame, *order: str) -> list[dict[str, Any]]:
@@ -117,69 +129,55 @@ def facts(r: Result) -> dict[str, Any]:
         part = f.pop("component_id")
         entry = found.setdefault(tuple(sorted(f.items())), {"fact": f, "components": []})
         entry["components"] += [part] if part else []
-    return {"note_facts": {"reader": r.reader, "notes_read": r.dataset.notes.count(), "invalid_outputs": r.invalid, "facts": list(found.values())}}
-
+    return {"note_facts": {"reader": r.reader, "notes_read": r.notes_read, "invalid_outputs": r.invalid, "facts": list(found.values())}}
 
-def _quoted(values: list[Any]) -> str:
-    return ", ".join(repr(v) for v in values)
 
-
-def _finding(rule: Rule, subject: str, message: str, rows: list[tuple[str, int, str]]) -> dict[str, Any]:
-    return {"rule_id": rule.id, "confidence": rule.confidence, "subject": subject, "message": message, "source_rows": [dict(zip(("source_file", "row_number", "row_id"), x, strict=True)) for x in rows]}
-
-
-def _grouped(rows: list[dict[str, Any]], *keys: str) -> dict[Any, list[dict[str, Any]]]:
+def _grouped(rows: list[dict[str, Any]], key: str) -> dict[Any, list[dict[str, Any]]]:
     out: dict[Any, list[dict[str, Any]]] = {}
     for row in rows:
-        out.setdefault(tuple(row[k] for k in keys), []).append(row)
+        out.setdefault(row[key], []).append(row)
     return out
 
 
-def _bom_rows(rows: list[dict[str, Any]]) -> list[tuple[str, int, str]]:
-    return sorted({("bom.csv", x["row_number"], x["line_id"]) for x in rows})
+def _quoted(values: list[Any]) -> str:
+    return ", ".join(repr(v) for v in values)
+
 
+#: What a finding says, by its rule; the words in braces are filled in from its row.
+SENTENCES = {
+    DUPLICATE_REFERENCE.id: "component {subject} is written in {n} ways: {quoted}",
+    GROUP_CONFLICT.id: "the rows under {spellings} differ in {listed}, yet are taken for one component",
+    GROUP_SPLIT.id: "{spellings} read as one reference but name {n} things ({quoted}), so the rows stay separate",
+    **{rule.id: f"{{spelling!r}}, component {{subject}}, shows {{n}} values of {name}: {{shown}}" for name, rule in CONFLICT_RULES.items()},
+    NOTE_RULES["replacement"].id: "note {note} has {ref!r} replaced{by}; component {subject} is still on {listed} (reader: {reader})",
+    NOTE_RULES["obsolescence"].id: "note {note} calls {ref!r} obsolete; component {subject} is still on {listed} (reader: {reader})",
+    NOTE_RULES["restriction"].id: "note {note} limits where {ref!r} may go{scope}; component {subject} is on {listed} (reader: {reader})",
+}
 
-def findings(r: Result, resolved: dict[str, Any], told: dict[str, Any]) -> list[dict[str, Any]]:
-    """All findings, in order: by group, then by component and attribute, then by fact."""
-    duplicates = _grouped(_rows(resolve.duplicate_references(r.canonical)), "component_id")
-    conflicts = _grouped(_rows(resolve.group_conflicts(r.canonical)), "reference_key")
-    splits = _grouped(_rows(resolve.group_splits(r.canonical)), "reference_key")
-    out = []
-    for g in resolved["groups"]:
-        key, parts = g["reference_key"], g["components"]
-        for p in parts:
-            if rows := duplicates.get((p["id"],)):
-                out.append(_finding(DUPLICATE_REFERENCE, p["id"], f"{len(rows)} spellings of one reference are one component: {_quoted(p['raw_references'])}.", _bom_rows(rows)))
-        if g["verdict"] == "review":
-            out.append(_finding(GROUP_CONFLICT, key, f"Rows sharing the reference {_quoted(parts[0]['raw_references'])} disagree on {', '.join(g['diverging'])}.", _bom_rows(conflicts[(key,)])))
-        elif g["verdict"] == "reject":
-            references, designations = (sorted({v for p in parts for v in p[f]}) for f in ("raw_references", "designations"))
-            said = f"References {_quoted(references)} share a canonical key but designate {len(designations)} different products: {_quoted(designations)}. Kept apart."
-            out.append(_finding(GROUP_SPLIT, key, said, _bom_rows(splits[(key,)])))
+
+def findings(r: Result, resolved: dict[str, Any]) -> list[dict[str, Any]]:
+    """The findings in their order, each with its sentence."""
+    parts = {p["id"]: p for g in resolved["groups"] for p in g["components"]}
     spelled = {x["component_id"]: x["spelling"] for x in _rows(checks.usual_spelling(r.canonical))}
-    values = _grouped(_rows(checks.conflict_values(r.canonical), "row_number"), "component_id", "ordinal", "attribute")
-    ids = [p["id"] for g in resolved["groups"] for p in g["components"]]
-    for component in ids:
-        for k, attribute in enumerate(checks.CONFLICTS):
-            if rows := values.get((component, k, attribute)):
-                shown = [f"{float(x['value']):.2f} EUR" if attribute == "cost" else repr(x["value"]) for x in rows]
-                said = "; ".join(f"{v} in {', '.join(x['variants'])}" for v, x in zip(shown, rows, strict=True))
-                out.append(_finding(CONFLICT_RULES[attribute], component, f"{spelled[component]!r} (component {component}) has {len(rows)} different {attribute} values: {said}.", _bom_rows(rows)))
-    carried = _grouped(_rows(checks.note_contradictions(r.canonical.select("component_id").distinct(), r.canonical)), "component_id")
-    for entry in told["note_facts"]["facts"]:
-        f = entry["fact"]
-        by = f" by {f['replacement_ref']!r}" if f["replacement_ref"] else ""
-        scope = f": {f['scope']!r}" if f["scope"] else ""
-        said = {
-            "replacement": f"says {f['component_ref']!r} has been replaced{by}",
-            "obsolescence": f"declares {f['component_ref']!r} obsolete",
-            "restriction": f"restricts the use of {f['component_ref']!r}{scope}",
-        }[f["kind"]]
-        for component in entry["components"]:
-            rows = sorted(carried[(component,)], key=lambda x: x["carrier"])
-            message = f"note {f['note_id']} {said}, and the BOM carries component {component} on {', '.join(x['carrier'] for x in rows)}. Read by {r.reader}."
-            evidence = sorted(("bom.csv", x["bom_row"], x["line_id"]) for x in rows)
-            out.append(_finding(NOTE_RULES[f["kind"]], component, message, [("notes.csv", f["row_number"], f["note_id"]), *evidence]))
+    keys: dict[str, list[str]] = {g["reference_key"]: sorted({v for p in g["components"] for v in p["raw_references"]}) for g in resolved["groups"]}
+    said = {(f["row_number"], f["kind"], f["component_ref"]): f for f in _rows(r.facts)}
+    out = []
+    for f in _rows(r.findings, *findings_op.ORDER):
+        subject, values = f["subject"], f["values"]
+        words = {"subject": subject, "n": len(values), "quoted": _quoted(values), "listed": ", ".join(values), "reader": r.reader}
+        if f["stage"] == 0:
+            words["spellings"] = _quoted(keys.get(subject) or parts[subject]["raw_references"])
+        elif f["stage"] == 1:
+            split = [v[1:].partition("] ") for v in values]
+            cost = f["rule_id"] == CONFLICT_RULES["cost"].id
+            words |= {"spelling": spelled[subject], "shown": "; ".join(f"{f'{float(v):.2f} EUR' if cost else repr(v)} on {at}" for at, _, v in split)}
+        else:
+            fact = said[(f["row"], KINDS[f["kind"] - 1], f["ref"])]
+            words |= {
+                "note": fact["note_id"], "ref": fact["component_ref"], "by": f" by {fact['replacement_ref']!r}" if fact["replacement_ref"] else "",
+                "scope": f" ({fact['scope']!r})" if fact["scope"] else "",
+            }
+        out.append({"rule_id": f["rule_id"], "confidence": f["confidence"], "subject": subject, "message": SENTENCES[f["rule_id"]].format(**words), "source_rows": f["source_rows"]})
     return out
 
 
@@ -207,7 +205,7 @@ def backtest_table(r: Result) -> dict[str, Any]:
         diff = None
         if p["reuse_class"] == "reusable":
             diff = {"added": [], "removed": [], "quantity_changed": []}
-            for x in diffs.get((p["sub_assembly_id"],), ()):
+            for x in diffs.get(p["sub_assembly_id"], ()):
                 left, right = ({"component": x["component_id"], "quantity": x[f"{s}_quantity"], "unit": x[f"{s}_unit"]} for s in ("left", "right"))
                 entry = {"added": right, "removed": left, "quantity_changed": {"component": x["component_id"], "left": left, "right": right}}
                 diff[x["change"]].append(entry[x["change"]])
@@ -220,6 +218,19 @@ def backtest_table(r: Result) -> dict[str, Any]:
     }
 
 
+def searches(r: Result) -> dict[str, dict[str, bool]]:
+    """Which sub-assemblies of the newest variant the two naive searches call reused, under the tool's ids.
+
+    A search knows a sub-assembly by each of its spellings; it is found if one of them is.
+    """
+    roles = sig.chronology(r.dataset.variants)
+    out = {}
+    for by in ("exact_reference", "same_name"):
+        found = baselines.under_tool_ids(baselines.search(r.raw.bom, roles, by))
+        out[by] = {x["sub_assembly_id"]: x["found"] for x in _rows(found)}
+    return out
+
+
 def tables(r: Result) -> dict[str, dict[str, Any]]:
     """The content of each JSON artifact."""
     resolved, told = resolution(r), facts(r)
@@ -227,7 +238,7 @@ def tables(r: Result) -> dict[str, dict[str, Any]]:
         A.NORMALIZED: normalized(r.dataset),
         A.RESOLUTION: resolved,
         A.NOTE_FACTS: told,
-        A.FINDINGS: {"findings": findings(r, resolved, told)},
+        A.FINDINGS: {"findings": findings(r, resolved)},
         A.SIGNATURES: {"signatures": signature_table(r)},
         A.PREDICTIONS: {"backtest": backtest_table(r)},
     }
