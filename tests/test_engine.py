@@ -7,13 +7,14 @@ from pathlib import Path
 
 import pytest
 
-from partkin.operators import baselines, checks, normalize as N, notes as O, resolve as R, signatures as S
-from partkin.operators.model_reader import facts_of, read_notes
+from partkin.operators import baselines, checks, findings, normalize as N, notes as O, resolve as R, signatures as S
+from partkin.operators.model_reader import BackendError, HttpBackend, ModelReader, facts_of, read_notes
 from partkin.plans import cli, report
 from partkin.plans import run as plan
-from partkin.sources import artifacts as A
-from partkin.sources import raw as W
+from partkin.sources import artifacts as A, generate as G, raw as W
+from partkin.sources.guard import trespass
 from partkin.sources.spec import SpecError, load_spec
+from partkin.sources.truth import EvaluationError, load_truth
 
 ROOT = Path(__file__).parent.parent
 VARIANTS = [("A", "Standard car", "2019-03-14", "North", "48", "0", "electric"), ("B", "Bike car", "2021-06-02", "North", "36", "8", "electric"), ("C", "New car", "2025-02-17", "West", "44", "2", "electric")]
@@ -205,7 +206,7 @@ def test_run_artifacts_and_command_line(spark, tmp_path, capsys):
     assert "reusable        1" in said and "reused          1" in said
     findings = A.load(out / A.FINDINGS)["findings"]
     assert {f["rule_id"] for f in findings} >= {"checks.supplier_conflict", "checks.note_restriction", "resolution.group_conflict"}
-    assert any("has 2 different supplier values: 'artois polymères' in A, C; 'other <b>' in A." in f["message"] for f in findings)
+    assert any("shows 2 values of supplier: 'artois polymères' on A, C; 'other <b>' on A" in f["message"] for f in findings)
     page = (out / A.REPORT).read_text()
     assert "<b>" not in page and "other &lt;b&gt;" in page and "<script" not in page
     again = tmp_path / "again"
@@ -235,7 +236,7 @@ def test_strict_artifacts(tmp_path):
         A.load(path)
 
 
-@pytest.mark.parametrize("text,said", [("line_id;x\n", "header"), (";".join(W.BOM) + "\na;b\n", "cells"), (";".join(W.BOM) + "\n\n", "cells"), (";".join(W.BOM) + '\n"a;b', "read"), ("﻿" + ";".join(W.BOM) + "\n", "header")])
+@pytest.mark.parametrize("text,said", [("line_id;x\n", "header"), (";".join(W.BOM) + "\na;b\n", "2 cells in row 1"), (";".join(W.BOM) + "\n\n", "0 cells"), (";".join(W.BOM) + '\n"a;b', "read"), ("﻿" + ";".join(W.BOM) + "\n", "header")])
 def test_malformed_files_are_refused(spark, tmp_path, text, said):
     folder = write(tmp_path / "raw", [])
     (folder / "bom.csv").write_text(text)
@@ -319,6 +320,14 @@ def test_report_flags_only_reuses():
     assert report.flagged({**p, "reuse_class": "specific"}, signature, {"Y": ["cost"]}) == []
 
 
+def test_report_compares_the_searches_and_shows_what_a_merge_rests_on():
+    predictions = [{"sub_assembly_id": k, "reuse_class": c} for k, c in (("C:1", "reused"), ("C:2", "reusable"), ("C:3", "specific"))]
+    counts, said = report.compared(predictions, {"exact_reference": {"C:1": True, "C:2": False}, "same_name": {"C:2": True, "C:3": True}})
+    assert [n for _, n in counts] == [2, 1, 2] and "1 that exist are not found by their reference: C:2" in said and said[1].startswith("1 have a namesake but nothing like it in content, 1")
+    found = [{"rule_id": "checks.cost_conflict", "subject": "K#1"}, {"rule_id": "resolution.group_conflict", "subject": "K"}, {"rule_id": "checks.unit_conflict", "subject": "L"}]
+    assert report.merged_evidence(found, [{"reference_key": "K", "components": [{"id": "K#1"}]}, {"reference_key": "L", "components": [{"id": "L"}]}]) == {"K#1": found[1]}
+
+
 def test_entry_imports_without_the_corpus_operators(tmp_path):
     code = "import sys; sys.modules['partkin.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'backtest' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
@@ -326,3 +335,121 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
 
 def test_plan_keeps_no_driver_table():
     assert plan.Result.__dataclass_fields__.keys() >= {"canonical", "items", "predictions"}
+
+
+@pytest.fixture(scope="module")
+def generated(tmp_path_factory):
+    """The default data set, by the command line."""
+    root = tmp_path_factory.mktemp("generated")
+    assert cli.main(["generate", "--out", str(root / "raw"), "--ground-truth", str(root / "truth.json")]) == 0
+    return root
+
+
+@pytest.fixture(scope="module")
+def result(spark, generated):
+    return plan.run(spark, generated / "raw", S.Thresholds())
+
+
+def test_generated_data_have_the_published_counts(spark, generated, result):
+    data = plan.tables(result)
+    normalized, groups, found = data[A.NORMALIZED], data[A.RESOLUTION]["groups"], data[A.FINDINGS]["findings"]
+    assert [len(normalized[k]) for k in ("variants", "lines", "notes", "sub_assemblies", "issues")] == [5, 696, 40, 72, 0]
+    assert (len(groups), sum(len(g["components"]) for g in groups)) == (160, 163)
+    assert [sum(g["verdict"] == v for g in groups) for v in ("auto", "review", "reject")] == [144, 13, 3]
+    rules = {r["rule_id"]: r["n"] for r in findings.rule_counts(result.findings).collect()}
+    assert [sum(n for k, n in rules.items() if k.startswith(part)) for part in ("resolution", "checks.note", "checks")] == [31, 22, 35] and len(found) == 66
+    assert [rules[f"checks.{k}"] for k in ("unit_conflict", "supplier_conflict", "cost_conflict", "note_replacement", "note_obsolescence", "note_restriction")] == [3, 5, 5, 9, 7, 6]
+    assert [sum(p["reuse_class"] == c for p in data[A.PREDICTIONS]["backtest"]["predictions"]) for c in ("reused", "reusable", "specific")] == [8, 5, 2]
+    assert all(f["source_rows"] for f in found) and findings.merged_evidence(result.findings, result.canonical).where("group_rows IS NULL").isEmpty()
+    assert O.linked_count(result.linked).first().asDict() == {"facts": 22, "linked": 22}
+    page = report.render(data, plan.searches(result))
+    assert "resolution.group_split: 3" in page and "by reference, character by character" in page
+    # three readers of the same part
+    assert [r[0] for r in O.match_reference(result.canonical, "fix 2O31").collect()] == ["F1X2031"]
+    assert O.match_reference(result.canonical, "TRIM-RAIL-1").count() == 2 and O.match_reference(result.canonical, "--").count() == 0
+
+
+def test_generated_data_give_the_published_scores(spark, generated):
+    scored = cli.scores(spark, generated / "raw", generated / "truth.json", S.Thresholds())
+    rows = {name: {r["label"]: (r["hits"], r["claimed"], r["there"]) for r in df.collect()} for name, df in scored.items()}
+    assert rows["tool"] == {"reused": (8, 8, 9), "reusable": (4, 5, 4), "new": (2, 2, 2)}
+    assert rows["exact_reference"] == {"reused": (4, 5, 9), "reusable": (0, 0, 4), "new": (2, 10, 2)}
+    assert rows["same_name"] == {"reused": (9, 15, 9), "reusable": (0, 0, 4), "new": (0, 0, 2)}
+
+
+def test_keyword_reader_on_generated_notes(spark, generated, result):
+    """19 of 28 true facts are told, 3 are invented, 9 missed."""
+    truth = json.loads((generated / "truth.json").read_text())
+    true = {(n["note_id"], f["fact_type"], f["cited_reference"]) for n in truth["notes"] for f in n["facts"]}
+    said = {(r["note_id"], r["kind"], r["component_ref"]) for r in result.facts.collect()}
+    assert (len(true), len(true & said), len(said - true), len(true - said)) == (28, 19, 3, 9)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_seed_moves_dirt_and_never_answers(tmp_path, generated, seed):
+    spec = load_spec(Path(G.__file__).parent / "default_spec.toml")
+    G.generate(spec, seed, tmp_path / "raw", tmp_path / "truth.json")
+    G.generate(spec, seed, tmp_path / "again", tmp_path / "again.json")
+    one, two, default = (json.loads(p.read_text()) for p in (tmp_path / "truth.json", tmp_path / "again.json", generated / "truth.json"))
+    assert one == two and all((tmp_path / "raw" / n).read_bytes() == (tmp_path / "again" / n).read_bytes() for n in W.FILES)
+    assert one["backtest"] == default["backtest"] and (tmp_path / "raw" / "bom.csv").read_bytes() != (generated / "raw" / "bom.csv").read_bytes()
+    spelt = [r for c in one["components"] for r in c["raw_references"]]
+    assert len(spelt) == len(set(spelt)) and {v for f in spec.typo_families for v in f["variants"]} <= set(spelt)
+    with pytest.raises(G.GenerationError):
+        G.generate(spec, seed, tmp_path / "raw", tmp_path / "raw" / "truth.json")
+
+
+def test_dirt_changes_the_spelling_and_never_the_amount():
+    for k in range(300):
+        dice = G.rng(k, "x")
+        for value, unit in ((18.5, "m"), (4.0, "pcs"), (0.75, "kg"), (36.0, "m")):
+            text, shown = G.written_amount(value, unit, dice)
+            assert float(text.replace(",", ".")) * {"mm": 1e-3, "g": 1e-3}.get(shown, 1) == pytest.approx(value, rel=1e-12)
+        for kind in ("case_and_whitespace", "separator", "homoglyph"):
+            assert G.misspelt("VENT-GRID-12", kind, dice) != "VENT-GRID-12"
+    with pytest.raises(G.GenerationError):
+        G.misspelt("WALNUT", "homoglyph", G.rng(1))
+
+
+@pytest.mark.parametrize("change", [{"extra": 1}, {"seed": "x"}, {"newest_variant": "A"}, {"notes": [{"note_id": "N1", "language": "fr", "facts": []}] * 2}])
+def test_a_truth_with_other_keys_or_no_sense_is_refused(spark, tmp_path, generated, change):
+    path = tmp_path / "truth.json"
+    path.write_text(json.dumps(json.loads((generated / "truth.json").read_text()) | change))
+    with pytest.raises(EvaluationError):
+        load_truth(spark, path)
+
+
+def test_tables_as_parquet(spark, result, tmp_path):
+    plan.write_tables(result, str(tmp_path / "tables"))
+    back = spark.read.parquet(str(tmp_path / "tables" / "findings.parquet"))
+    assert back.count() == 66 and spark.read.parquet(str(tmp_path / "tables" / "predictions.parquet")).count() == 15
+
+
+def test_model_answers_are_kept_in_a_shared_folder(spark, tmp_path):
+    class Counted:
+        model = "a model/1"
+
+        def generate(self, prompt):
+            (tmp_path / "calls").open("a").write("x")
+            return '{"facts": []}'
+
+    notes = N.normalize(raw(spark, [line(1)], notes=NOTES)).notes
+    for _ in range(2):
+        told = O.extract(notes, ModelReader(Counted(), str(tmp_path / "cache")))
+        assert (told.reader, told.notes_read, told.invalid_outputs, told.facts.count()) == ("a model/1", 7, 0, 0)
+    assert len((tmp_path / "calls").read_text()) == 7 and all(p.name.startswith("a_model_1-N") for p in (tmp_path / "cache").iterdir())
+
+
+def test_a_backend_that_fails_is_asked_again_and_then_named():
+    with pytest.raises(BackendError, match="2 calls of m at http://127.0.0.1:9"):
+        HttpBackend("m", "http://127.0.0.1:9", 0.2).generate("x")
+
+
+def test_nothing_is_written_where_raw_files_are(tmp_path):
+    folder = write(tmp_path / "raw", [])
+    (tmp_path / "hard.csv").hardlink_to(folder / "bom.csv")
+    (tmp_path / "soft").symlink_to(folder)
+    (tmp_path / "gone.json").symlink_to(folder / "new.json")
+    for bad in ("raw/x.json", "hard.csv", "soft/x/y.json", "gone.json", "raw/../raw/z"):
+        assert trespass([tmp_path / "fine.json", tmp_path / bad], folder), bad
+    assert trespass([tmp_path / "fine" / "x.json"], folder) is None and trespass([tmp_path / "x"], tmp_path / "none") is None
