@@ -10,17 +10,17 @@ document's weight, a signature costs a constant and a few regions a shingle, wha
 
 Equal shingle sets are joined first. Bands of a signature are hashed to buckets. A bucket is compared
 in blocks of bounded size, with a few leaders of the bucket in each block, so its work grows with its
-members; what is then left outside the bucket's largest class is compared with all of the bucket, so
-that no pair of different classes stays unseen. Signatures only propose: a link is taken if the
-weighted Jaccard similarity of the two texts' shingles, counted exactly, reaches the border, and a
-task sends on only links that connect what was not connected. Classes are the connected components
-of the links.
+members; the signatures of what is then left outside the bucket's largest class are compared with all
+of the bucket, so that no pair of different classes stays unseen. Signatures only propose: a link is
+taken if the weighted Jaccard similarity of the two texts' shingles, counted exactly, reaches the
+border. Members are taken in an order that all buckets share, and a task sends on only links that
+connect what was not connected, so links grow with texts. Classes are their connected components.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ BLOCK = 250
 BLOCK_UNITS = 1_000_000
 #: Members of a bucket of several blocks, about, that stand in all of them.
 LEADERS = 16
+#: Rows of two or three numbers that are broadcast at most (large buckets, texts to fetch again); more are joined.
+FEW = 50_000
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -228,31 +230,25 @@ def _units(table: pa.Table) -> tuple[pa.Table, list[Weighted]]:
     return table.take(pa.array(place)), [out[k] for k in place]
 
 
-def _compare(similar: float, margin: float) -> object:
-    def links(table: pa.Table) -> pa.RecordBatch:
-        table, units = _units(table)
-        if not len(units):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-        ids, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        new = np.zeros(len(ids), bool)
-        new[0] = True
-        for c in ("key", "block"):
-            v = table.column(c).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(ids)))
-        pair = starts[sizes == 2]
-        fine = pair[(label[pair] != label[pair + 1]) & (estimates(marks[pair], marks[pair + 1]) >= similar - margin)] if len(pair) else pair
-        fine = fine[[bool(jaccard(units[k], [units[k + 1]])[0] >= similar) for k in fine]] if len(fine) else fine
-        out = [(int(x), int(y)) for x, y in zip(ids[fine], ids[fine + 1], strict=True)]
-        for s, m in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            out += _links_of(ids[s : s + m], label[s : s + m], marks[s : s + m], units[s : s + m], similar, margin)
-        x = np.array(out, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], ["a", "b"])
+def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the rows of one bucket and block."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in ("key", "block"):
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, table.num_rows))
+
+
+def _marks(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def _whole(found: Callable[[pa.Table], pa.RecordBatch]) -> object:
+    """``found`` of rows sorted by group; all of a group is needed at once, and its rows may be spread over batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members sorted by group; all of a group is needed at once, and its rows may be spread over batches."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -264,18 +260,57 @@ def _compare(similar: float, margin: float) -> object:
             cut_at = int(np.argmax(same))
             if cut_at:
                 held.append(batch.slice(0, cut_at))
-                yield links(pa.Table.from_batches(held))
+                yield found(pa.Table.from_batches(held))
                 held = []
             elif held and tuple(held[-1].column(c)[0].as_py() for c in ("key", "block")) != last:
-                yield links(pa.Table.from_batches(held))
+                yield found(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(cut_at))
         if held:
-            yield links(pa.Table.from_batches(held))
+            yield found(pa.Table.from_batches(held))
 
     return run
 
 
+def _compare(similar: float, margin: float) -> Callable[[pa.Table], pa.RecordBatch]:
+    def links(table: pa.Table) -> pa.RecordBatch:
+        table, units = _units(table)
+        if not len(units):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+        ids, label, marks = table.column("rep").to_numpy(), table.column("label").to_numpy(), _marks(table)
+        starts, sizes = _groups(table)
+        pair = starts[sizes == 2]
+        fine = pair[(label[pair] != label[pair + 1]) & (estimates(marks[pair], marks[pair + 1]) >= similar - margin)] if len(pair) else pair
+        fine = fine[[bool(jaccard(units[k], [units[k + 1]])[0] >= similar) for k in fine]] if len(fine) else fine
+        out = [(int(x), int(y)) for x, y in zip(ids[fine], ids[fine + 1], strict=True)]
+        for s, m in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            out += _links_of(ids[s : s + m], label[s : s + m], marks[s : s + m], units[s : s + m], similar, margin)
+        x = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], ["a", "b"])
+
+    return links
+
+
+def _propose(border: float) -> Callable[[pa.Table], pa.RecordBatch]:
+    """The rows whose signature is alike that of a row of another label, where one of both asks."""
+
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        label, asks, marks = table.column("label").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False), _marks(table)
+        like = np.zeros(table.num_rows, bool)
+        for s, m in zip(*_groups(table), strict=True):
+            for i in s + np.flatnonzero(asks[s : s + m]):
+                j = s + np.flatnonzero(label[s : s + m] != label[i])
+                j = j[estimates(marks[i], marks[j]) >= border] if len(j) else j
+                like[j] = True
+                like[i] |= len(j) > 0
+        return table.filter(pa.array(like)).select(["key", "block", "rep", "label"]).combine_chunks().to_batches(max_chunksize=None)[0] if like.any() else _NO_ROWS
+
+    return rows
+
+
+_NO_ROWS = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["key", "block", "rep", "label"])
+
+
 def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, class_id): the least id of each connected component of links (a, b), for ids that have one.
 
@@ -312,34 +347,47 @@ def near_links(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, margi
 
     Members of a bucket bring their texts, to be counted; texts that share no bucket stay where they are.
     """
+    turn, n_parts = F.xxhash64(F.lit(3), "rep"), partitions(reps)
 
-    def links(members: DataFrame) -> DataFrame:
-        """From rows (key, block, rep, label)."""
-        met = members.join(reps.select("rep", "doc_id", "content", "d1", "d2", "signature"), "rep")
-        met = met.join(docs.select("doc_id", "content", "text"), ["doc_id", "content"]).drop("doc_id", "content")
-        met = met.repartition(partitions(reps), "key", "block").sortWithinPartitions("key", "block", "rep")
-        return met.mapInArrow(_compare(similar, margin), "a long, b long").distinct()
+    def met(rows: DataFrame) -> DataFrame:
+        """Dealt by group, and in the turn that texts have in all buckets."""
+        return rows.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "turn", "rep").drop("turn")
 
-    def placed(everywhere: Column) -> Column:
-        own = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")
-        return F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block")
+    def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+        """From rows (key, block, rep, label)."""
+        rows = rows.join(reps.select("rep", "doc_id", "content", "d1", "d2", "signature"), "rep").withColumn("turn", turn)
+        rows = rows.join(texts.select("doc_id", "content", "text"), ["doc_id", "content"]).drop("doc_id", "content")
+        return met(rows).mapInArrow(_whole(_compare(similar, margin)), "a long, b long").distinct()
 
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     buckets = reps.select("rep", "weight", F.explode("bands").alias("key"))
     chosen = cut(_blocks(buckets))
-    members = buckets.select("rep", "key").join(chosen, "key")
-    leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "rep", "key"), F.col("n")) < LEADERS)
-    found = cut(links(members.select("key", "rep", placed(leads), F.col("rep").alias("label"))))
+    leads = (F.col("blocks") > 1) & (F.shiftrightunsigned(turn, 1) / float(1 << 63) < LEADERS / F.col("n"))
+    block = F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block")
+    found = cut(links(buckets.select("rep", "key").join(chosen, "key").select("key", "rep", block, F.col("rep").alias("label")), docs))
     large = chosen.where("blocks > 1")
     if large.isEmpty():
         return found
-    # what of a large bucket is not in its largest class goes to all blocks, so it meets all others
+    if large.count() <= FEW:
+        large = F.broadcast(large)
     inside = buckets.select("rep", "key").join(large, "key").join(connected(found).select(F.col("id").alias("rep"), "class_id"), "rep", "left")
-    inside = inside.withColumn("label", F.coalesce("class_id", "rep"))
+    inside = cut(inside.select("key", "rep", "n", "blocks", F.coalesce("class_id", "rep").alias("label")))
     sizes = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    outside = inside.join(most.select("key", F.col("most.label").alias("most")), "key")
-    more = links(outside.select("key", "rep", placed(F.col("label") != F.col("most")), "label"))
-    return found.unionByName(more).distinct()
+    inside = inside.join(most.select("key", F.col("most.label").alias("most"), F.col("most.size").alias("size")), "key")
+    # every block of members meets every block of those that are outside the largest class
+    inside = inside.withColumn("rounds", F.ceil((F.col("n") - F.col("size")) / BLOCK).cast("int")).withColumn("asks", F.col("label") != F.col("most"))
+    asked = F.transform(F.sequence(F.lit(0), F.col("rounds") - 1), lambda q: own * F.col("rounds") + q)
+    mine = F.pmod(F.xxhash64(F.lit(4), "rep"), F.col("rounds")).cast("int")
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda p: p * F.col("rounds") + mine)
+    rows = inside.select("key", "rep", "label", F.explode(asked).alias("block"), F.lit(False).alias("asks"))
+    rows = rows.unionByName(inside.where("asks").select("key", "rep", "label", F.explode(asking).alias("block"), F.lit(True).alias("asks")))
+    rows = met(rows.join(reps.select("rep", "signature"), "rep").withColumn("turn", turn))
+    alike = cut(rows.mapInArrow(_whole(_propose(similar - margin)), "key long, block int, rep long, label long"))
+    wanted = alike.select("rep").distinct().join(reps.select("rep", "doc_id", "content"), "rep").select("doc_id", "content")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    return found.unionByName(links(alike, docs.join(wanted, ["doc_id", "content"], "left_semi"))).distinct()
 
 
 def judged(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
