@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import same_amount
 from ..runtime import cut
+from ..schemas import CLASSES
 
 
 @dataclass(frozen=True)
@@ -148,6 +149,12 @@ def backtest(sigs: DataFrame, variants: DataFrame, t: Thresholds = Thresholds())
     )
 
 
+def class_counts(predictions: DataFrame) -> DataFrame:
+    """All classes with their counts, zeros too."""
+    names = predictions.sparkSession.createDataFrame([(c,) for c in CLASSES], "reuse_class string")
+    return names.join(predictions.groupBy("reuse_class").agg(F.count(F.lit(1)).alias("n")), "reuse_class", "left").select("reuse_class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def backtest_diff(predictions: DataFrame, items: DataFrame) -> DataFrame:
     """(sub_assembly_id, component_id, change, left and right amounts) of every reusable one, from its ancestor."""
     won = predictions.where(F.col("reuse_class") == "reusable").select("sub_assembly_id", "ancestor_id")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import baselines, checks, evaluate, normalize as N, notes as O, resolve as R, signatures as S
+from ..operators import baselines, checks, evaluate, findings as findings_op, normalize as N, notes as O, resolve as R, signatures as S
 from ..runtime import cut
 from ..sources.raw import Raw
 
@@ -67,6 +67,15 @@ SELECT concat('N', cast(p_partkey AS string)) AS note_id, CASE WHEN p_partkey %
        cast(p_partkey AS bigint) AS row_number
 FROM part
 """
+# In the same bill as BOM, some brands have several makers or costs, and notes speak against some.
+CHECKED_VIEW = BOM_VIEW.replace("'maker' AS supplier", "CASE WHEN p_brand LIKE '%3' THEN concat('maker ', cast(l_suppkey % 2 AS string)) ELSE 'maker' END AS supplier").replace(
+    "'1' AS unit_cost_eur", "CASE WHEN p_brand LIKE '%4' THEN concat('1', cast(l_linenumber % 2 AS string), ',50') ELSE '1' END AS unit_cost_eur"
+)
+BRAND_NOTES_VIEW = """
+SELECT concat('B', p_brand) AS note_id, '1998' AS variant_id, '1998-02-28' AS date,
+       concat(replace(p_brand, '#', '-'), CASE WHEN p_brand LIKE '%15' THEN ' is discontinued; do not use it' ELSE ' is discontinued' END) AS text, cast(1 AS bigint) AS row_number
+FROM (SELECT DISTINCT p_brand FROM part) brands WHERE p_brand LIKE '%5'
+"""
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -212,7 +221,7 @@ def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest(spark, sf_dir).groupBy("reuse_class").agg(F.count(F.lit(1)).alias("n"))
+    return S.class_counts(backtest(spark, sf_dir))
 
 
 def backtest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,20 +264,58 @@ def note_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags on all parts of the sub-assemblies of the year 2000, as if each were a proposed reuse."""
-    linked, canonical = _linked(spark, sf_dir)
-    items = S.signature_items(canonical).where(F.col("unit").isNotNull())
-    reuses = items.where(F.col("variant_id") == "2000").select("sub_assembly_id", F.lit("reused").alias("reuse_class")).distinct()
-    found = checks.flagged_parts(reuses, items, checks.flags(checks.conflict_values(canonical), checks.note_contradictions(linked, canonical)))
+    """What to check first in the reuses that the backtest proposes: parts with other makers, costs, or a note against them."""
+    d = _cut(spark, sf_dir, CHECKED_VIEW)
+    canonical = cut(_resolved(d)[1])
+    items = S.signature_items(canonical)
+    facts = O.note_facts(_view(spark, sf_dir, BRAND_NOTES_VIEW))
+    flags = checks.flags(checks.conflict_values(canonical), checks.note_contradictions(O.link(facts, canonical), canonical))
+    found = checks.flagged_parts(S.backtest(S.signatures(items), d.variants), items.where(F.col("unit").isNotNull()), flags)
     return found.select("sub_assembly_id", "component_id", _joined("labels").alias("labels"))
 
 
+def usual_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.usual_spelling(_canonical(spark, sf_dir))
+
+
+def facts_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.linked_count(_linked(spark, sf_dir)[0])
+
+
+def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return issues(spark, sf_dir).groupBy("source_file", "field", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    linked, canonical = _linked(spark, sf_dir)
+    return findings_op.findings(canonical, linked), canonical
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _findings(spark, sf_dir)[0]
+    return found.select("rule_id", "confidence", "subject", F.size("values").alias("n_values"), F.size("source_rows").alias("n_rows"), F.col("source_rows")[0]["row_number"].alias("first_row"))
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings_op.rule_counts(_findings(spark, sf_dir)[0])
+
+
+def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, canonical = _findings(spark, sf_dir)
+    return findings_op.merged_evidence(cut(found), canonical).select("component_id", "rule_id", F.coalesce(F.size("group_rows"), F.lit(0)).alias("group_rows"))
+
+
+def searches_by_tool_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baselines.under_tool_ids(_baseline("same_name")(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         reference_keys, text_keys, numbers, quantities, dates, issues, components, sub_assemblies, suppliers, group_verdicts,
         verdict_counts, canonical_rows, duplicate_references, group_conflicts, group_splits, signature_items, lines_left_out,
         chronology, backtest, class_counts, backtest_diff, evaluate_scores, note_facts, linked_facts, note_contradictions, flagged_parts,
+        usual_spelling, facts_linked, issue_counts, findings, rule_counts, merged_evidence, searches_by_tool_id,
     )
 } | {
     "unit_conflicts": _conflicts("unit"),
@@ -390,6 +437,29 @@ def _conflict_cte(attribute: str) -> str:
 {attribute}_several AS (SELECT *, count(*) OVER (PARTITION BY component_id) AS n_values FROM {attribute}_values)"""
 
 
+# The rules and their confidences.
+_RULES = """
+rules AS (SELECT * FROM (VALUES ('resolution.duplicate_reference', 0.95::double), ('resolution.group_conflict', 0.9), ('resolution.group_split', 0.7), ('checks.unit_conflict', 0.9),
+  ('checks.supplier_conflict', 0.9), ('checks.cost_conflict', 0.9), ('checks.note_obsolescence', 0.6), ('checks.note_replacement', 0.6), ('checks.note_restriction', 0.6)) t(rule_id, confidence))"""
+_FINDINGS = _RULES + """,
+spelled AS (SELECT component_id, component_ref, min(row_number) AS r FROM canonical GROUP BY ALL),
+shown AS (
+  SELECT child_id, row_number, 'designation' AS a, nullif(designation, '') AS v FROM canonical UNION ALL SELECT child_id, row_number, 'unit', unit FROM canonical
+  UNION ALL SELECT child_id, row_number, 'supplier', nullif(supplier, '') FROM canonical UNION ALL SELECT child_id, row_number, 'cost', cast(cost AS string) FROM canonical),
+proof AS (SELECT DISTINCT child_id, r FROM (
+  SELECT s.child_id, min(s.row_number) AS r FROM shown s JOIN groups g ON g.child_id = s.child_id WHERE v IS NOT NULL AND g.verdict = 'review' AND list_contains(g.diverging, a) GROUP BY s.child_id, a, v)),
+parts AS (SELECT child_id, component_id, min(row_number) AS r, max(nullif(designation, '')) AS d FROM canonical WHERE verdict = 'reject' GROUP BY ALL),
+plain AS (
+  SELECT 'resolution.duplicate_reference' AS rule_id, component_id AS subject, count(*) AS n_values, count(*) AS n_rows, min(r) AS first_row FROM spelled GROUP BY component_id HAVING count(*) > 1
+  UNION ALL SELECT 'resolution.group_conflict', p.child_id, any_value(len(g.diverging)), count(*), min(r) FROM proof p JOIN groups g ON g.child_id = p.child_id GROUP BY p.child_id
+  UNION ALL SELECT 'resolution.group_split', child_id, count(DISTINCT d), count(*), min(r) FROM parts GROUP BY child_id
+  UNION ALL SELECT 'checks.unit_conflict', component_id, count(*), count(DISTINCT row_number), min(row_number) FROM unit_several WHERE n_values > 1 GROUP BY 2
+  UNION ALL SELECT 'checks.supplier_conflict', component_id, count(*), count(DISTINCT row_number), min(row_number) FROM supplier_several WHERE n_values > 1 GROUP BY 2
+  UNION ALL SELECT 'checks.cost_conflict', component_id, count(*), count(DISTINCT row_number), min(row_number) FROM cost_several WHERE n_values > 1 GROUP BY 2
+  UNION ALL SELECT 'checks.note_' || kind, component_id, count(DISTINCT carrier), 1 + count(DISTINCT bom_row), any_value(cast(substr(note_id, 2) AS bigint)) FROM contradictions GROUP BY kind, component_id, note_id),
+found AS (SELECT p.*, r.confidence FROM plain p JOIN rules r ON r.rule_id = p.rule_id)"""
+
+
 def _sql(view: str, ctes: list[str], select: str) -> str:
     return "WITH " + ",".join([_LINES.replace("{view}", view), *ctes]) + "\n" + select
 
@@ -465,7 +535,7 @@ ORACLE_SQL: dict[str, str] = {
     "lines_left_out": _p([_GROUPS, _ITEMS], "SELECT sub_assembly_id, cast(sum(n) AS bigint) AS lines_left_out FROM (SELECT parent_id AS sub_assembly_id, 1 AS n FROM lines WHERE parent_id <> '' AND child_id = '' UNION ALL SELECT sub_assembly_id, CASE WHEN unit IS NULL THEN lines ELSE 0 END FROM items) GROUP BY 1"),
     "chronology": f"WITH {_CHRONOLOGY} SELECT * FROM roles",
     "backtest": _b([_GROUPS, _ITEMS, _CHRONOLOGY, _BACKTEST], "SELECT sub_assembly_id, variant_id, reuse_class, ancestor_id, coalesce(n_parts, -1) AS n_parts, coalesce(n_qty, -1) AS n_qty FROM predictions"),
-    "class_counts": _b([_GROUPS, _ITEMS, _CHRONOLOGY, _BACKTEST], "SELECT reuse_class, count(*) AS n FROM predictions GROUP BY 1"),
+    "class_counts": _b([_GROUPS, _ITEMS, _CHRONOLOGY, _BACKTEST], "SELECT c.reuse_class, count(p.sub_assembly_id) AS n FROM (SELECT unnest(['reused', 'reusable', 'specific']) AS reuse_class) c LEFT JOIN predictions p ON p.reuse_class = c.reuse_class GROUP BY 1"),
     "backtest_diff": _b(
         [_GROUPS, _ITEMS, _CHRONOLOGY, _BACKTEST],
         """SELECT * FROM (
@@ -491,13 +561,31 @@ LEFT JOIN predictions p ON p.sub_assembly_id = t.sub_assembly_id GROUP BY l.labe
     "note_facts": f"WITH {_FACTS} SELECT * FROM facts",
     "linked_facts": _p([_GROUPS, _FACTS, _LINKED], "SELECT note_id, kind, component_ref, component_id FROM linked"),
     "note_contradictions": _p([_GROUPS, _FACTS, _LINKED], "SELECT * FROM contradictions"),
-    "flagged_parts": _p(
-        [_GROUPS, _ITEMS, _FACTS, _LINKED, _conflict_cte("unit"), _conflict_cte("supplier"), _conflict_cte("cost")],
-        """, said AS (
+    "flagged_parts": _sql(
+        CHECKED_VIEW,
+        [_GROUPS, _ITEMS, _CHRONOLOGY, _BACKTEST, _conflict_cte("unit"), _conflict_cte("supplier"), _conflict_cte("cost")],
+        f""", spoken AS (SELECT note_id, text, {_k("regexp_extract(text, 'Brand-[0-9]+')")} AS k FROM ({BRAND_NOTES_VIEW})),
+said AS (
   SELECT DISTINCT component_id, 0 AS o, 'unit' AS label FROM unit_several WHERE n_values > 1
   UNION SELECT component_id, 1, 'supplier' FROM supplier_several WHERE n_values > 1 UNION SELECT component_id, 2, 'cost' FROM cost_several WHERE n_values > 1
-  UNION SELECT component_id, CASE kind WHEN 'replacement' THEN 10 WHEN 'obsolescence' THEN 11 ELSE 12 END, kind FROM contradictions),
+  UNION SELECT component_id, 11, 'obsolescence' FROM canonical JOIN spoken ON k = child_id WHERE text LIKE '%discontinued%'
+  UNION SELECT component_id, 12, 'restriction' FROM canonical JOIN spoken ON k = child_id WHERE text LIKE '%do not use%'),
 flags AS (SELECT component_id, string_agg(label, '|' ORDER BY o) AS labels FROM said GROUP BY 1)
-SELECT i.sub_assembly_id, i.component_id, f.labels FROM items i JOIN flags f ON f.component_id = i.component_id WHERE i.variant_id = '2000' AND i.unit IS NOT NULL""",
-    ).replace("\n, said", ", said"),
+SELECT i.sub_assembly_id, i.component_id, f.labels FROM items i JOIN predictions p ON p.sub_assembly_id = i.sub_assembly_id AND p.reuse_class <> 'specific'
+JOIN flags f ON f.component_id = i.component_id WHERE i.unit IS NOT NULL""",
+    ).replace("\n, spoken", ", spoken"),
+    "usual_spelling": _p([_GROUPS], "SELECT component_id, spelling FROM (SELECT component_id, trim(component_ref) AS spelling, row_number() OVER (PARTITION BY component_id ORDER BY count(*) DESC, trim(component_ref)) AS r FROM canonical GROUP BY component_id, trim(component_ref)) WHERE r = 1"),
+    "facts_linked": _p([_GROUPS, _FACTS, _LINKED], "SELECT count(*) AS facts, count(CASE WHEN found THEN 1 END) AS linked FROM (SELECT note_id, kind, max(component_id) IS NOT NULL AS found FROM linked GROUP BY ALL)"),
+    "issue_counts": f"WITH raw AS ({PARTS_VIEW}), variants AS ({VARIANTS_VIEW}), notes AS ({NOTES_VIEW}), found AS ({_ISSUES}) SELECT source_file, field, reason, count(*) AS n FROM found WHERE reason IS NOT NULL GROUP BY ALL",
+    "findings": _p([_GROUPS, _FACTS, _LINKED, *map(_conflict_cte, ("unit", "supplier", "cost")), _FINDINGS], "SELECT rule_id, confidence, subject, n_values, n_rows, first_row FROM found"),
+    "rule_counts": _p(
+        [_GROUPS, _FACTS, _LINKED, *map(_conflict_cte, ("unit", "supplier", "cost")), _FINDINGS],
+        "SELECT r.rule_id, r.confidence, count(f.subject) AS n FROM rules r LEFT JOIN found f ON f.rule_id = r.rule_id GROUP BY ALL",
+    ),
+    "merged_evidence": _p(
+        [_GROUPS, _FACTS, _LINKED, *map(_conflict_cte, ("unit", "supplier", "cost")), _FINDINGS],
+        """SELECT c.subject AS component_id, c.rule_id, coalesce(g.n_rows, 0) AS group_rows FROM found c JOIN (SELECT DISTINCT component_id, child_id FROM canonical) k ON k.component_id = c.subject
+LEFT JOIN found g ON g.rule_id = 'resolution.group_conflict' AND g.subject = k.child_id WHERE c.rule_id IN ('checks.unit_conflict', 'checks.supplier_conflict', 'checks.cost_conflict')""",
+    ),
+    "searches_by_tool_id": _b([_CHRONOLOGY, _search_sql(_t("sub_assembly_designation"))], f"SELECT variant_id || ':' || {_k('substr(sub_assembly_id, length(variant_id) + 2)')} AS sub_assembly_id, bool_or(reuse_class = 'reused') AS found FROM searched GROUP BY 1"),
 }

@@ -62,12 +62,8 @@ def parse(content: bytes, columns: tuple[str, ...]) -> list[list[str]]:
     return records[1:]
 
 
-def read_csv(spark: SparkSession, path: str | Path, columns: tuple[str, ...]) -> DataFrame:
-    """The rows of one file, or of all files of a folder, with their numbers in the file.
-
-    Files are read by Spark, so they may lie wherever it reads from; since records may span lines, a
-    file is parsed by one task, and several by several.
-    """
+def records_of(files: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The rows of files given as (path, content), with their numbers in the file; several files are parsed at once."""
     names = [*columns, "row_number"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +78,16 @@ def read_csv(spark: SparkSession, path: str | Path, columns: tuple[str, ...]) ->
                     cells = [pa.array(c, pa.string()) for c in zip(*part, strict=True)]
                     yield pa.RecordBatch.from_arrays([*cells, pa.array(range(low + 1, low + 1 + len(part)), pa.int64())], names)
 
-    files = ship(spark).read.format("binaryFile").load(str(path)).select("path", "content")
-    return files.mapInArrow(rows, schema_of(columns))
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInArrow(rows, schema_of(columns))
+
+
+def read_csv(spark: SparkSession, path: str | Path, columns: tuple[str, ...]) -> DataFrame:
+    """The rows of one file, or of all files of a folder, wherever Spark reads from.
+
+    Since records may span lines, a file is parsed by one task.
+    """
+    return records_of(spark.read.format("binaryFile").load(str(path)), columns)
 
 
 def repeated(df: DataFrame, column: str) -> DataFrame:

@@ -6,9 +6,10 @@ import os
 
 import pytest
 
-from partkin.plans import driver_queries as Q
+from partkin.plans import driver_queries, source_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+QUERIES, ORACLE_SQL = driver_queries.QUERIES | source_queries.QUERIES, driver_queries.ORACLE_SQL | source_queries.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
@@ -19,15 +20,15 @@ def rows(df):
     return df.sort_values(list(df.columns)).to_numpy().tolist()
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "part", "supplier"):
+    for t in ("orders", "lineitem", "part", "supplier", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    got = Q.QUERIES[name](spark, SF).toPandas()
-    want = con.sql(Q.ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = con.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
     spark.catalog.clearCache()
