@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType, NullType
 
+from ..runtime import cut as cut  # operators take it from here
+
 #: Bytes of text that one vectorised step takes at a time, so that its arrays stay near the cache.
 STEP_BYTES = 1 << 21
 
@@ -20,22 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Where none is set, a local one is made if
-    driver and executors are one process, as in tests; on a cluster that is an error. Files go when
-    Spark finds the result unreachable, if it is set to clean checkpoints.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="partkin-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
