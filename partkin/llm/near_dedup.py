@@ -342,8 +342,13 @@ def _blocks(buckets: DataFrame) -> DataFrame:
     return chosen.select("key", "n", blocks.cast("int").alias("blocks"))
 
 
-def near_links(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, margin: float = MARGIN) -> DataFrame:
-    """Links (a, b), a < b, between different shingle sets, enough to connect all that are alike.
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` with the hint to broadcast them, if a count says that they are few."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def near_classes(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, margin: float = MARGIN) -> DataFrame:
+    """(id, class_id) of the shingle sets that are alike another one.
 
     Members of a bucket bring their texts, to be counted; texts that share no bucket stay where they are.
     """
@@ -353,28 +358,34 @@ def near_links(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, margi
         """Dealt by group, and in the turn that texts have in all buckets."""
         return rows.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "turn", "rep").drop("turn")
 
-    def links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    def links(rows: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
         """From rows (key, block, rep, label)."""
-        rows = rows.join(reps.select("rep", "doc_id", "content", "d1", "d2", "signature"), "rep").withColumn("turn", turn)
+        rows = rows.join(known.select("rep", "doc_id", "content", "d1", "d2", "signature"), "rep").withColumn("turn", turn)
         rows = rows.join(texts.select("doc_id", "content", "text"), ["doc_id", "content"]).drop("doc_id", "content")
-        return met(rows).mapInArrow(_whole(_compare(similar, margin)), "a long, b long").distinct()
+        return cut(met(rows).mapInArrow(_whole(_compare(similar, margin)), "a long, b long").distinct())
 
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     buckets = reps.select("rep", "weight", F.explode("bands").alias("key"))
     chosen = cut(_blocks(buckets))
     leads = (F.col("blocks") > 1) & (F.shiftrightunsigned(turn, 1) / float(1 << 63) < LEADERS / F.col("n"))
     block = F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block")
-    found = cut(links(buckets.select("rep", "key").join(chosen, "key").select("key", "rep", block, F.col("rep").alias("label")), docs))
-    large = chosen.where("blocks > 1")
-    if large.isEmpty():
-        return found
-    if large.count() <= FEW:
+    large, members = chosen.where("blocks > 1"), buckets.select("rep", "key")
+    n_large = large.count()
+    if n_large <= FEW:  # members of large buckets are dealt by block where they lie, not by bucket first
         large = F.broadcast(large)
-    inside = buckets.select("rep", "key").join(large, "key").join(connected(found).select(F.col("id").alias("rep"), "class_id"), "rep", "left")
+        small = members.join(large.select("key"), "key", "left_anti").join(chosen.where("blocks = 1"), "key")
+        members = small.unionByName(members.join(large, "key"))
+    else:
+        members = members.join(chosen, "key")
+    classes = connected(links(members.select("key", "rep", block, F.col("rep").alias("label")), reps, docs))
+    if not n_large:
+        return classes
+    inside = buckets.select("rep", "key").join(large, "key").join(classes.select(F.col("id").alias("rep"), "class_id"), "rep", "left")
     inside = cut(inside.select("key", "rep", "n", "blocks", F.coalesce("class_id", "rep").alias("label")))
     sizes = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    inside = inside.join(most.select("key", F.col("most.label").alias("most"), F.col("most.size").alias("size")), "key")
+    most = most.select("key", F.col("most.label").alias("most"), F.col("most.size").alias("size"))
+    inside = cut(inside.join(F.broadcast(most) if n_large <= FEW else most, "key"))  # at most a row for each large bucket
     # every block of members meets every block of those that are outside the largest class
     inside = inside.withColumn("rounds", F.ceil((F.col("n") - F.col("size")) / BLOCK).cast("int")).withColumn("asks", F.col("label") != F.col("most"))
     asked = F.transform(F.sequence(F.lit(0), F.col("rounds") - 1), lambda q: own * F.col("rounds") + q)
@@ -382,12 +393,18 @@ def near_links(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, margi
     asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda p: p * F.col("rounds") + mine)
     rows = inside.select("key", "rep", "label", F.explode(asked).alias("block"), F.lit(False).alias("asks"))
     rows = rows.unionByName(inside.where("asks").select("key", "rep", "label", F.explode(asking).alias("block"), F.lit(True).alias("asks")))
-    rows = met(rows.join(reps.select("rep", "signature"), "rep").withColumn("turn", turn))
+    known = reps.join(_few(inside.select("rep").distinct()), "rep", "left_semi")
+    rows = met(rows.join(known.select("rep", "signature"), "rep").withColumn("turn", turn))
     alike = cut(rows.mapInArrow(_whole(_propose(similar - margin)), "key long, block int, rep long, label long"))
-    wanted = alike.select("rep").distinct().join(reps.select("rep", "doc_id", "content"), "rep").select("doc_id", "content")
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
-    return found.unionByName(links(alike, docs.join(wanted, ["doc_id", "content"], "left_semi"))).distinct()
+    known = reps.join(_few(alike.select("rep").distinct()), "rep", "left_semi")
+    texts = docs.join(_few(known.select("doc_id", "content")), ["doc_id", "content"], "left_semi")
+    more = links(alike, known, texts)
+    # the new links connect classes, or texts that had none
+    of = classes.select(F.col("id").alias("rep"), "class_id")
+    ends = more.join(of.toDF("a", "p"), "a", "left").join(of.toDF("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
+    joined = connected(ends).toDF("class_id", "whole")
+    alone = joined.join(of, "class_id", "left_anti").select(F.col("class_id").alias("id"), "class_id")
+    return classes.unionByName(alone).join(joined, "class_id", "left").select("id", F.coalesce("whole", "class_id").alias("class_id"))
 
 
 def judged(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -400,7 +417,7 @@ def judged(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         F.min(F.struct("doc_id", "content", "row")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
     reps = cut(reps.select(*equal, F.col("first.row").alias("rep"), "first.doc_id", "first.content", "first", "copies", "signature", "bands"))
-    classes = connected(near_links(reps, docs, similar))
+    classes = near_classes(reps, docs, similar)
     found = reps.select(*equal, "rep", "first", "copies").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.withColumn("class", F.coalesce("class_id", "rep")).drop("class_id")
     sizes = found.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("least"))
