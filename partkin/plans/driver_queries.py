@@ -100,10 +100,15 @@ def _read(spark: SparkSession, sf_dir: str, view: str) -> N.Dataset:
     return N.normalize(_raw(spark, sf_dir, view), compose=False)
 
 
-def _cut(spark: SparkSession, sf_dir: str, view: str) -> N.Dataset:
-    """The same with its lines computed once, for queries that read them several times."""
+#: What resolving reads of a line; queries name what else they need.
+_RESOLVED = ("row_number", "line_id", "child_id", "designation", "unit", "supplier", "cost")
+_PLACED = ("variant_id", "parent_id", "quantity")
+
+
+def _cut(spark: SparkSession, sf_dir: str, view: str, *more: str) -> N.Dataset:
+    """The same with its lines computed once, as far as the query needs them, for queries that read them several times."""
     d = _read(spark, sf_dir, view)
-    return N.Dataset(d.variants, cut(d.lines.drop("raw", "sub_assembly_ref_raw", "supplier_raw", "sub_assembly_designation")), d.notes, d.issues)
+    return N.Dataset(d.variants, cut(d.lines.select(*_RESOLVED, *more)), d.notes, d.issues)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> N.Dataset:
@@ -115,8 +120,8 @@ def _resolved(d: N.Dataset) -> tuple[DataFrame, DataFrame]:
     return g, R.canonical_lines(d.lines, g)
 
 
-def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(_cut(spark, sf_dir, PARTS_VIEW))[1]
+def _canonical(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return _resolved(_cut(spark, sf_dir, PARTS_VIEW, *more))[1]
 
 
 def _joined(c: str) -> Column:
@@ -177,7 +182,7 @@ def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.duplicate_references(_canonical(spark, sf_dir)).select("component_id", "component_ref_raw", "row_number", "spellings")
+    return R.duplicate_references(_canonical(spark, sf_dir, "component_ref_raw")).select("component_id", "component_ref_raw", "row_number", "spellings")
 
 
 def group_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,23 +195,23 @@ def group_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _conflicts(attribute: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = checks.conflict_values(_canonical(spark, sf_dir), (attribute,))
+        found = checks.conflict_values(_canonical(spark, sf_dir, "variant_id"), (attribute,))
         return found.select("component_id", "row_number", "n_values", _joined("variants").alias("variants"))
 
     return run
 
 
 def signature_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.signature_items(_canonical(spark, sf_dir)).select("sub_assembly_id", "component_id", "unit", F.round("quantity", 6).alias("quantity"), "lines")
+    return S.signature_items(_canonical(spark, sf_dir, *_PLACED)).select("sub_assembly_id", "component_id", "unit", F.round("quantity", 6).alias("quantity"), "lines")
 
 
 def lines_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _cut(spark, sf_dir, PARTS_VIEW)
+    d = _cut(spark, sf_dir, PARTS_VIEW, *_PLACED)
     return S.lines_left_out(d.lines, S.signature_items(_resolved(d)[1]))
 
 
 def _bom_items(spark: SparkSession, sf_dir: str) -> tuple[N.Dataset, DataFrame]:
-    d = _cut(spark, sf_dir, BOM_VIEW)
+    d = _cut(spark, sf_dir, BOM_VIEW, *_PLACED)
     return d, S.signature_items(_resolved(d)[1])
 
 
@@ -251,7 +256,7 @@ def note_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    canonical = cut(_canonical(spark, sf_dir))
+    canonical = cut(_canonical(spark, sf_dir, "variant_id", "component_ref_raw"))
     return O.link(O.note_facts(_view(spark, sf_dir, NOTES_VIEW)), canonical), canonical
 
 
@@ -265,7 +270,7 @@ def note_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to check first in the reuses that the backtest proposes: parts with other makers, costs, or a note against them."""
-    d = _cut(spark, sf_dir, CHECKED_VIEW)
+    d = _cut(spark, sf_dir, CHECKED_VIEW, *_PLACED)
     canonical = cut(_resolved(d)[1])
     items = S.signature_items(canonical)
     facts = O.note_facts(_view(spark, sf_dir, BRAND_NOTES_VIEW))
@@ -275,7 +280,7 @@ def flagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usual_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.usual_spelling(_canonical(spark, sf_dir))
+    return checks.usual_spelling(_canonical(spark, sf_dir, "component_ref_raw"))
 
 
 def facts_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
