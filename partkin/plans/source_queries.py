@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate, findings as findings_op, normalize as N, notes as O, resolve as R, signatures as S
-from ..runtime import cut
+from ..operators.model_reader import ModelReader
+from ..runtime import cut, shared_folder, ship
 from ..sources import generate as G, raw as W
 from ..sources.spec import load_spec
 from ..sources.story import NEWEST, VARIANTS
 from . import run as plan
-from .driver_queries import VARIANTS_VIEW, _view
+from .driver_queries import NOTES_VIEW, VARIANTS_VIEW, _view
 
 # Both dialects read these views alike. Declared variants, half of them a second time in another spelling.
 DECLARED_VIEW = f"""
@@ -125,9 +131,52 @@ def generated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.score(cut(truth), r.predictions)
 
 
+def tables_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated data set's tables as Parquet in the shared folder, counted as they are read back."""
+    folder = f"{shared_folder(spark.sparkContext)}/tables-{uuid.uuid4().hex}"
+    plan.write_tables(_generated(spark)[0], folder)
+    names = ("lines", "issues", "groups", "canonical", "facts", "items", "predictions", "findings")
+    counts = [spark.read.parquet(f"{folder}/{name}.parquet").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in names]
+    return reduce(DataFrame.unionByName, counts)
+
+
+class FirstToken:
+    """A model that calls the note's first word in capitals obsolete, and makes up a part."""
+
+    model = "first token"
+
+    def generate(self, prompt: str) -> str:
+        found = re.search("[A-Z][A-Z0-9_-]{3,}", prompt.rpartition("Note:\n")[2])
+        said = [{"kind": "obsolescence", "component_ref": found[0], "replacement_ref": "ZZ-99"}] if found else []
+        return json.dumps({"facts": [*said, {"kind": "restriction", "component_ref": "ZZ-98"}]})
+
+
+def model_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a model that are in their notes, and how much of what it said was not."""
+    reading = ModelReader(FirstToken()).read(_view(spark, sf_dir, NOTES_VIEW))
+    facts = reading.facts.select("note_id", "kind", "component_ref", "replacement_ref")
+    return reading.invalid.join(facts, "note_id", "left")
+
+
+def written_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts spelled as the generator spells them, and read again."""
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values, units = (batch.column(c).to_pylist() for c in ("p_partkey", "value", "base"))
+            told = [G.written_amount(v, u, G.rng(7, k)) for k, v, u in zip(keys, values, units, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("p_partkey"), *[pa.array([t[x] for t in told], pa.string()) for x in (0, 1)]], ["p_partkey", "quantity", "unit"])
+
+    unit = F.when(F.col("p_partkey") % 3 == 0, F.lit("m")).when(F.col("p_partkey") % 3 == 1, F.lit("kg")).otherwise(F.lit("pcs"))
+    value = F.when(F.col("p_partkey") % 3 == 2, (F.col("p_partkey") % 50 + 1).cast("double")).otherwise((F.col("p_partkey") % 400 + 1).cast("double") / 8)
+    part = ship(spark).read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("p_partkey"), value.alias("value"), unit.alias("base"))
+    read = T.with_amounts(part.mapInArrow(spelled, "p_partkey long, quantity string, unit string"))
+    return read.select("p_partkey", "amount", F.col("amount_unit").alias("base"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (duplicate_variants, cue_facts, amounts_alike, designation_words, composed_keys, budgets, story_cases, strict_csv, repeated_ids, generated_counts, generated_scores)
+    for f in (duplicate_variants, cue_facts, amounts_alike, designation_words, composed_keys, budgets, story_cases, strict_csv, repeated_ids, generated_counts, generated_scores, tables_written, model_facts, written_amounts)
 }
 
 _SHAPED = "lambda x: regexp_matches(x, '[0-9]') OR x = upper(x)"
@@ -157,4 +206,8 @@ UNION ALL SELECT note_id, 'restriction', found[1], '', CASE WHEN length(whole) >
     "generated_counts": """SELECT * FROM (VALUES ('resolution.duplicate_reference', 15::bigint), ('resolution.group_conflict', 13), ('resolution.group_split', 3), ('checks.unit_conflict', 3), ('checks.supplier_conflict', 5),
   ('checks.cost_conflict', 5), ('checks.note_replacement', 9), ('checks.note_obsolescence', 7), ('checks.note_restriction', 6), ('auto', 144), ('review', 13), ('reject', 3), ('components', 163)) t(what, n)""",
     "generated_scores": "SELECT * FROM (VALUES ('reused', 8::bigint, 8::bigint, 9::bigint), ('reusable', 4, 5, 4), ('new', 2, 2, 2)) t(label, hits, claimed, there)",
+    "tables_written": "SELECT * FROM (VALUES ('lines', 696::bigint), ('issues', 0), ('groups', 160), ('canonical', 696), ('facts', 22), ('items', 696), ('predictions', 15), ('findings', 66)) t(name, n)",
+    "model_facts": f"""SELECT note_id, CASE WHEN found <> '' THEN 2 ELSE 1 END::bigint AS invalid, CASE WHEN found <> '' THEN 'obsolescence' END AS kind, nullif(found, '') AS component_ref, CASE WHEN found <> '' THEN '' END AS replacement_ref
+FROM (SELECT note_id, regexp_extract(text, '[A-Z][A-Z0-9_-]{{3,}}') AS found FROM ({NOTES_VIEW}))""",
+    "written_amounts": "SELECT p_partkey::bigint AS p_partkey, CASE WHEN p_partkey % 3 = 2 THEN (p_partkey % 50 + 1)::double ELSE (p_partkey % 400 + 1)::double / 8 END AS amount, CASE p_partkey % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'kg' ELSE 'pcs' END AS base FROM part",
 }
