@@ -47,10 +47,8 @@ def reference_key(c: Column) -> Column:
 
 
 def text_key(c: Column) -> Column:
-    """White space to single spaces, case folded; only cells with two spaces in a row need a pattern."""
-    spaced = F.translate(c, WS_CHARS, " " * len(WS_CHARS))
-    single = F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
-    return casefold(F.trim(single))
+    """White space to single spaces, case folded."""
+    return casefold(F.trim(F.regexp_replace(F.translate(c, WS_CHARS, " " * len(WS_CHARS)), " {2,}", " ")))
 
 
 def variant_key(c: Column) -> Column:

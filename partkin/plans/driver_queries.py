@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import baselines, checks, evaluate, findings as findings_op, normalize as N, notes as O, resolve as R, signatures as S
-from ..runtime import cut
+from ..runtime import cut, tuned
 from ..sources.raw import Raw
 
 # Both dialects read these three views alike.
@@ -89,7 +89,7 @@ def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         tables["lineitem"] = tables["lineitem"].repartition("l_orderkey")
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-    return spark.sql(sql, **tables)
+    return tuned(spark).sql(sql, **tables)
 
 
 def _raw(spark: SparkSession, sf_dir: str, bom: str) -> Raw:

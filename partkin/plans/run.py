@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import baselines, checks, findings as findings_op, notes as notes_op, resolve, signatures as sig
 from ..operators.normalize import Dataset, components, normalize, sub_assemblies, suppliers
 from ..operators.notes import KeywordReader, NoteReader
-from ..runtime import cut
+from ..runtime import cut, tuned
 from ..schemas import CONFLICT_RULES, DUPLICATE_REFERENCE, GROUP_CONFLICT, GROUP_SPLIT, KINDS, NOTE_RULES
 from ..sources import artifacts as A
 from ..sources.raw import Raw, read_raw
@@ -59,7 +59,7 @@ def analyse(raw: Raw, thresholds: sig.Thresholds, reader: NoteReader | None = No
 
 
 def run(spark: SparkSession, raw_dir: str | Path, thresholds: sig.Thresholds, reader: NoteReader | None = None) -> Result:
-    return analyse(read_raw(spark, raw_dir), thresholds, reader)
+    return analyse(read_raw(tuned(spark), raw_dir), thresholds, reader)
 
 
 def write_tables(result: Result, folder: str) -> None:

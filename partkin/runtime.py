@@ -29,6 +29,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Has generated methods that the JVM would never compile run as separate expressions.
+
+    Reading a line takes some thirty expressions; as one method they exceed the 8000 bytes of code
+    above which HotSpot only interprets. A session that set the limit itself keeps its own.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(limit) == "65535":
+        spark.conf.set(limit, "8000")
+    return spark
+
+
 def shared_folder(context: SparkContext) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 

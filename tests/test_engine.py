@@ -11,6 +11,7 @@ from partkin.operators import baselines, checks, findings, normalize as N, notes
 from partkin.operators.model_reader import BackendError, HttpBackend, ModelReader, facts_of, read_notes
 from partkin.plans import cli, report
 from partkin.plans import run as plan
+from partkin.runtime import cut
 from partkin.sources import artifacts as A, generate as G, raw as W
 from partkin.sources.guard import trespass
 from partkin.sources.spec import SpecError, load_spec
@@ -30,9 +31,11 @@ def raw(spark, bom, variants=VARIANTS, notes=()):
 
 
 def resolved(spark, bom, **more):
-    d = N.normalize(raw(spark, bom, **more))
-    g = R.groups(d.lines)
-    return d, g, R.canonical_lines(d.lines, g)
+    """The tables of a bill in composed characters, each computed once."""
+    d = N.normalize(raw(spark, bom, **more), compose=False)
+    d = N.Dataset(d.variants, cut(d.lines.coalesce(1)), d.notes, d.issues)
+    g = cut(R.groups(d.lines))
+    return d, g, cut(R.canonical_lines(d.lines, g))
 
 
 def verdicts(g):
@@ -101,8 +104,8 @@ def predicted(spark, *subs, variants=VARIANTS):
         bom += parts(variant, sub, counts, n)
         n += len(counts)
     d, _, c = resolved(spark, bom, variants=variants)
-    items = S.signature_items(c)
-    p = S.backtest(S.signatures(items), d.variants)
+    items = cut(S.signature_items(c))
+    p = cut(S.backtest(S.signatures(items), d.variants))
     return {r["sub_assembly_id"]: r for r in p.collect()}, S.backtest_diff(p, items).collect()
 
 
