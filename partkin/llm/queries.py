@@ -59,7 +59,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(ship(spark), sf_dir, "documents"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
