@@ -575,6 +575,65 @@ def test_fingerprints_and_edited_texts(docs, texts):
     assert np.mean(usual) > 0.6 and np.mean([got[i]["near_next"] for i in range(39)]) < 0.05
 
 
+def mixed64(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = ((x ^ (x >> shift)) * factor) & (1 << 64) - 1
+    return x
+
+
+def piecewise(text):
+    """The fingerprint of one text, a byte at a time: (block, signature, signature at twice the block)."""
+    whole, power, prime = (1 << 64) - 1, 0x9FB21C651E98DF25, 0x01000193
+
+    def rolled(k):  # of the seven bytes that end at k; before the text there are zeros
+        x = sum(((text[k - j] if k >= j else 0) + 1) * pow(prime, j, 1 << 32) for j in range(7)) & 0xFFFFFFFF
+        x = ((x ^ (x >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF
+        return x ^ (x >> 13)
+
+    rolls = [rolled(k) for k in range(len(text))]
+
+    def signature(block):
+        out, start = [], 0
+        for k in range(len(text)):
+            if k == len(text) - 1 or (rolls[k] % block == block - 1 and len(out) < 63):
+                total = sum(mixed64((b + 1) * 0xD6E8FEB86659FD93 & whole) * pow(power, n, 1 << 64) for n, b in enumerate(text[start : k + 1])) & whole
+                out.append(chr(fingerprints.ALPHABET[mixed64(total) >> 58]))
+                start = k + 1
+        return "".join(out)
+
+    block = 3
+    while block * 64 < len(text):
+        block *= 2
+    while block > 3 and len(signature(block)) < 32:
+        block //= 2
+    return block, signature(block), signature(2 * block)
+
+
+def alike_by_hand(a, b):
+    def one(x, y):
+        need = min(7, (max(len(x), len(y)) + 1) // 2)
+        run = any(x[k : k + need] in y for k in range(len(x) - need + 1))
+        return 2 * common_subsequence(x, y) / (len(x) + len(y)) if run and x + y else 0.0
+
+    if a[0] == b[0]:
+        return 1.0 if not a[1] and not b[1] else max(one(a[1], b[1]), one(a[2], b[2]))
+    return one(a[1], b[2]) if a[0] == 2 * b[0] else one(a[2], b[1]) if 2 * a[0] == b[0] else 0.0
+
+
+def test_fingerprints_are_brute_force(spark):
+    rng = random.Random(17)
+    texts = [words(rng, n) for n in (1, 2, 5, 30, 31, 60, 61, 200, 400)] + ["", "é漢字🙂" * 30, "the same line\n" * 60, "ab" * 700]
+    texts.insert(5, texts[4][:90] + " changed " + texts[4][90:])
+    got = by_id(fingerprints.document_fingerprints(table(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])))
+    prints = [piecewise(t.encode()) for t in texts]
+    for k, t in enumerate(texts):
+        after, n = texts[(k + 1) % len(texts)], len(t) // 4
+        edited = piecewise((t[: len(t) - n] + after[:n]).encode())
+        r = got[k]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("{}:{}:{}".format(*p) for p in (prints[k], edited)), k
+        assert abs(r["near_edited"] - alike_by_hand(prints[k], edited)) < 1e-12 and abs(r["near_next"] - alike_by_hand(prints[k], prints[(k + 1) % len(texts)])) < 1e-12
+
+
 def common_subsequence(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
