@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -93,6 +93,16 @@ def _quotas(votes: str, blocks: str, block: int, epochs: int, names: list[str],
     return run, kind
 
 
+def _hashed(seed: int, *more: str) -> Column:
+    """A seeded hash of a row's id, and of more columns, as 32 hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *more).cast("binary"))
+
+
+def _dealt(seed: int, parts: str) -> Column:
+    """Which of ``parts`` a row goes to; its text takes part, so that rows of one id are spread too."""
+    return (F.conv(F.substring(_hashed(seed, "__text"), 1, 8), 16, 10).cast("long") % F.col(parts)).cast("int")
+
+
 def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: int, block_words: int, shard_docs: int, seed: int) -> DataFrame:
     """``docs`` with __size, __source_size, __target and __taken, each row for itself.
 
@@ -101,7 +111,7 @@ def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs:
     shards get their quotas where they lie.
     """
     measured = docs.withColumns(
-        {"__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}
+        {"__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "__text": F.md5(F.coalesce("text", F.lit("")).cast("binary"))}
     )
     small = cut(measured.select("source", "__size", "doc_id", "__text"))
     # Spark and Python both order valid UTF-8 by code point
@@ -126,9 +136,7 @@ def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs:
 
     def dealt(rows: DataFrame) -> DataFrame:
         met = rows.join(sources, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-        group = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("__text")), F.col("__groups")).cast("int")
-        shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("__text")), F.col("__shards")).cast("int")
-        return met.withColumns({"__group": group, "__shard": shard})
+        return met.withColumns({"__group": _dealt(seed + 2, "__groups"), "__shard": _dealt(seed + 1, "__shards")})
 
     words = cut(dealt(small).groupBy("__rank", "__group", "__shard").agg(F.sum("__size").alias("__words")))
     groups = words.groupBy("__rank", "__group").agg(F.sum("__words").alias("words")).orderBy("__rank", "__group").collect()
@@ -146,7 +154,7 @@ def _planned(docs: DataFrame, weights: tuple[float, ...], share: float, epochs:
     plan = plan.withColumn("__take", F.least(F.col("quota") * block, F.col("__words") * epochs)).drop("quota")
 
     shard = ["__rank", "__group", "__shard"]
-    order = [F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id"), F.col("__text"), F.col("__size")]
+    order = [_hashed(seed), F.col("doc_id"), F.col("__text"), F.col("__size")]
     upto = F.sum("__size").over(Window.partitionBy(*shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = dealt(measured).withColumn("__upto", upto).join(plan, shard)
     whole = F.when(F.col("__words") > 0, F.floor(F.col("__take") / F.col("__words"))).otherwise(F.lit(0)).cast("long")
