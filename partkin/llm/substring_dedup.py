@@ -587,16 +587,28 @@ def substring_dedup(
     document of smaller doc_id, or earlier in the same one. Strings are judged on the input, never
     cross documents, and may overlap; null counts as empty, and shorter texts lose nothing. doc_ids
     are integers; rows that repeat a doc_id and text count as one document and lose the same each;
-    null ids take no part and keep their bytes. Where a doc_id has several texts, each is told from
-    the others by its bytes alone: what one of them loses, all of them may lose at the same place.
-    Segments are found equal by two 64-bit hashes, refined windows by their bytes. A digit that has
-    more than ``least`` segments and 4 / ``counters`` of all is split (see the module).
-    Extra columns are ignored.
+    other texts under one doc_id are documents of their own, in the order of their hash; null ids
+    take no part and keep their bytes. Segments are found equal by two 64-bit hashes, refined windows
+    by their bytes. A digit that has more than ``least`` segments and 4 / ``counters`` of all is
+    split (see the module). Extra columns are ignored.
     """
     if not gram < length <= gram + 255:
         raise ValueError("length must exceed gram, by at most 255")
-    n = partitions(docs)
     docs = docs.select(integer_id(docs), F.coalesce("text", F.lit("")).alias("text"))
+    told = docs.where(F.col("doc_id").isNotNull()).withColumn("content", F.xxhash64("text"))
+    if told.groupBy("doc_id").agg((F.min("content") < F.max("content")).alias("several")).where("several").isEmpty():
+        return _deduplicated(docs, length, gram, buckets, counters, least)
+    # some ids have several texts: all are numbered anew, in their order
+    order = ["doc_id", "content"]
+    ids = told.select(*order).distinct().repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
+    ids = cut(ids.withColumn("place", F.monotonically_increasing_id()))
+    placed = told.join(ids, order).select(F.col("place").alias("doc_id"), "text").unionByName(docs.where(F.col("doc_id").isNull()))
+    found = _deduplicated(placed, length, gram, buckets, counters, least).withColumnRenamed("doc_id", "place")
+    return found.join(ids, "place", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _deduplicated(docs: DataFrame, length: int, gram: int, buckets: int | None, counters: int, least: int) -> DataFrame:
+    n = partitions(docs)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = buckets or max(1, -(-total // BUCKET_BYTES))  # by the bytes to tell apart
 

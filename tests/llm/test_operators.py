@@ -309,6 +309,20 @@ def test_substring_dedup_of_repeated_rows(spark, parts):
     assert {(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got} == set(want.items())
 
 
+def test_substring_dedup_of_other_texts_under_one_id(spark):
+    rng = random.Random(15)
+    a, b, c = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(1, a + b[:200]), (1, b), (1, b), (2, a[50:250] + c), (2, c + b[100:300]), (3, c), (None, a)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ranked = sorted({(i, hashed[t], t) for i, t in rows if i is not None})
+    want = removed_bytes({k: t for k, (_, _, t) in enumerate(ranked)}, 100)
+    want = Counter({(i, *want[k]): sum((i, t) == r for r in rows) for k, (i, _, t) in enumerate(ranked)})
+    want[(None, len(a), 0, 0, hashlib.sha256(a.encode()).hexdigest())] = 1
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == want
+
+
 def test_substring_dedup_odd_tables(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
     got = substring_dedup.substring_dedup(table(spark, [(None, "x" * 300, None, None), (5, "y" * 99, None, None)])).collect()
