@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import binary_rows, cut, folded, integer_id, mix64, partitions, steps, utf8, word_hashes
@@ -417,11 +417,15 @@ def judged(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         F.min(F.struct("doc_id", "content", "row")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
     )
     reps = cut(reps.select(*equal, F.col("first.row").alias("rep"), "first.doc_id", "first.content", "first", "copies", "signature", "bands"))
-    classes = near_classes(reps, docs, similar)
-    found = reps.select(*equal, "rep", "first", "copies").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.withColumn("class", F.coalesce("class_id", "rep")).drop("class_id")
-    sizes = found.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("least"))
-    found = found.join(sizes, "class").select(*equal, "class_size", "least")
+    classes = near_classes(reps, docs, similar).toDF("rep", "class")
+    found = cut(reps.select(*equal, "rep", "first", "copies").join(classes, "rep", "left").drop("rep"))
+    grouped = found.where(F.col("class").isNotNull())
+    sizes = cut(grouped.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("least"), F.count(F.lit(1)).alias("texts")))
+    large = _few(sizes.where(F.col("texts") > BLOCK))  # these classes' texts learn of them where they lie
+    small = grouped.join(large.select("class"), "class", "left_anti").join(sizes.where(F.col("texts") <= BLOCK), "class")
+    columns = [*equal, "class_size", "least"]
+    alone = found.where(F.col("class").isNull()).select(*equal, F.col("copies").alias("class_size"), F.col("first").alias("least"))
+    found = alone.unionByName(small.select(*columns)).unionByName(grouped.join(large, "class").select(*columns))
     return sketch.select("doc_id", "content", "row", *equal).join(found, equal).select(
         "doc_id", "content", F.col("least.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("least.row")).alias("kept")
     )
