@@ -20,7 +20,7 @@ from ..runtime import cut, shared_folder, ship
 from ..sources import generate as G, raw as W
 from ..sources.spec import load_spec
 from ..sources.story import NEWEST, VARIANTS
-from . import run as plan
+from . import report, run as plan
 from .driver_queries import NOTES_VIEW, VARIANTS_VIEW, _view
 
 # Both dialects read these views alike. Declared variants, half of them a second time in another spelling.
@@ -140,6 +140,15 @@ def tables_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each section of the generated data set's page, headings apart, and its script elements."""
+    result = _generated(spark)[0]
+    page = report.render(plan.tables(result), plan.searches(result))
+    sections = re.findall(r'<section id="(\w+)">(.*?)</section>', page, re.S)
+    rows = [(name, body.count("<tr>") - body.count("<tr><th>")) for name, body in sections if name in ("answer", "inconsistencies", "findings")]
+    return spark.createDataFrame([*rows, ("scripts", page.count("<script"))], "section string, n long")
+
+
 class FirstToken:
     """A model that calls the note's first word in capitals obsolete, and makes up a part."""
 
@@ -176,7 +185,7 @@ def written_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (duplicate_variants, cue_facts, amounts_alike, designation_words, composed_keys, budgets, story_cases, strict_csv, repeated_ids, generated_counts, generated_scores, tables_written, model_facts, written_amounts)
+    for f in (duplicate_variants, cue_facts, amounts_alike, designation_words, composed_keys, budgets, story_cases, strict_csv, repeated_ids, generated_counts, generated_scores, tables_written, model_facts, written_amounts, report_rows)
 }
 
 _SHAPED = "lambda x: regexp_matches(x, '[0-9]') OR x = upper(x)"
@@ -206,6 +215,7 @@ UNION ALL SELECT note_id, 'restriction', found[1], '', CASE WHEN length(whole) >
     "generated_counts": """SELECT * FROM (VALUES ('resolution.duplicate_reference', 15::bigint), ('resolution.group_conflict', 13), ('resolution.group_split', 3), ('checks.unit_conflict', 3), ('checks.supplier_conflict', 5),
   ('checks.cost_conflict', 5), ('checks.note_replacement', 9), ('checks.note_obsolescence', 7), ('checks.note_restriction', 6), ('auto', 144), ('review', 13), ('reject', 3), ('components', 163)) t(what, n)""",
     "generated_scores": "SELECT * FROM (VALUES ('reused', 8::bigint, 8::bigint, 9::bigint), ('reusable', 4, 5, 4), ('new', 2, 2, 2)) t(label, hits, claimed, there)",
+    "report_rows": "SELECT * FROM (VALUES ('answer', 15::bigint), ('inconsistencies', 13), ('findings', 66), ('scripts', 0)) t(section, n)",
     "tables_written": "SELECT * FROM (VALUES ('lines', 696::bigint), ('issues', 0), ('groups', 160), ('canonical', 696), ('facts', 22), ('items', 696), ('predictions', 15), ('findings', 66)) t(name, n)",
     "model_facts": f"""SELECT note_id, CASE WHEN found <> '' THEN 2 ELSE 1 END::bigint AS invalid, CASE WHEN found <> '' THEN 'obsolescence' END AS kind, nullif(found, '') AS component_ref, CASE WHEN found <> '' THEN '' END AS replacement_ref
 FROM (SELECT note_id, regexp_extract(text, '[A-Z][A-Z0-9_-]{{3,}}') AS found FROM ({NOTES_VIEW}))""",
