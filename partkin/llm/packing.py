@@ -28,8 +28,8 @@ from .shared import cut, integer_id, mix64, partitions, powers, utf8
 END = 1  # closes each document
 LENGTH = 2048
 DIMENSIONS, BITS = 4, 12
-#: Words whose ids a worker keeps at most (about 20 bytes each); beyond, it starts anew.
-CACHED = 3_000_000
+#: Words whose ids a worker keeps at most (about 40 bytes each); beyond, it starts anew.
+CACHED = 500_000
 _STEP_CHARS = 1 << 18
 #: Tokens of a document that travel together.
 CHUNK = 1024
@@ -67,17 +67,16 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        told = json.loads(self.model.to_str())
-        splits = (told["pre_tokenizer"] or {}).get("pretokenizers") or [told["pre_tokenizer"]]
-        known = told["normalizer"] == _NORMALIZER and splits[0] == _SPLIT and told["model"].get("type") == "BPE" and not told["model"].get("dropout")
+        normalizer, split = (json.loads(part.__getstate__()) if part else {} for part in (self.model.normalizer, self.model.pre_tokenizer))
+        splits = split.get("pretokenizers") or [split]
+        known = normalizer == _NORMALIZER and splits[0] == _SPLIT and type(self.model.model).__name__ == "BPE" and not self.model.model.dropout
         # the rest of the splits turns bytes into characters and must not cut again
         known = known and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in splits[1:])
         self.beyond = re.compile("|".join([r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u02ff]", *added]) if known else "")
         self.classes = _classes()
         self.values = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.last = np.zeros(self.model.get_vocab_size(), bool)
-        for token, k in self.model.get_vocab().items():
-            self.last[k] = token.endswith("</w>")
+        # token by token: a worker's memory is small, and a dictionary of all would stay in it
+        self.last = np.array([(self.model.id_to_token(k) or "").endswith("</w>") for k in range(self.model.get_vocab_size())], bool)
         self.forget()
 
     def forget(self) -> None:
