@@ -373,7 +373,7 @@ def near_classes(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, mar
     n_large = large.count()
     if n_large <= FEW:  # members of large buckets are dealt by block where they lie, not by bucket first
         large = F.broadcast(large)
-        small = members.join(large.select("key"), "key", "left_anti").join(chosen.where("blocks = 1"), "key")
+        small = members.join(large.select("key"), "key", "left_anti").join(_few(chosen.where("blocks = 1")), "key")
         members = small.unionByName(members.join(large, "key"))
     else:
         members = members.join(chosen, "key")
