@@ -33,6 +33,14 @@ def test_equal_targets_are_compared_once(spark, monkeypatch):
     assert sorted(r["sub_assembly_id"] for r in got) == sorted(f"2001:{k}" for k in range(30))
 
 
+def test_predictions_are_computed_once_for_the_difference(spark):
+    predictions = spark.range(2).selectExpr("concat('2001:', id) AS sub_assembly_id", "'2000:x' AS ancestor_id", "'reusable' AS reuse_class")
+    items = spark.sql("SELECT * FROM VALUES ('2001:0', 'A', 'pcs', 1.0D), ('2000:x', 'A', 'pcs', 2.0D), ('2001:1', 'B', 'pcs', 1.0D) t(sub_assembly_id, component_id, unit, quantity)")
+    diff = S.backtest_diff(predictions, items)
+    assert "Range" not in diff._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["sub_assembly_id"], r["component_id"], r["change"]) for r in diff.collect()) == [("2001:0", "A", "quantity_changed"), ("2001:1", "A", "removed"), ("2001:1", "B", "added")]
+
+
 def test_kept_rows_take_less_room_than_a_checkpoint(spark):
     lines = spark.range(100_000).selectExpr("id", "concat('SA-', id % 900) AS ref", "'maker' AS supplier", "1.0D AS cost").coalesce(1)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
