@@ -41,6 +41,13 @@ def test_predictions_are_computed_once_for_the_difference(spark):
     assert sorted((r["sub_assembly_id"], r["component_id"], r["change"]) for r in diff.collect()) == [("2001:0", "A", "quantity_changed"), ("2001:1", "A", "removed"), ("2001:1", "B", "added")]
 
 
+def test_search_reads_the_bill_once(spark):
+    bom = spark.range(3).selectExpr("cast(2000 + id % 2 AS string) AS variant_id", "concat('S', id) AS sub_assembly_ref", "'Door' AS sub_assembly_designation")
+    found = baselines.search(bom, S.chronology(variants(spark)), "same_name")
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("2001:S1", "2001", "reused", "2000:S0")]
+
+
 def test_kept_rows_take_less_room_than_a_checkpoint(spark):
     lines = spark.range(100_000).selectExpr("id", "concat('SA-', id % 900) AS ref", "'maker' AS supplier", "1.0D AS cost").coalesce(1)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
