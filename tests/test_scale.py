@@ -57,3 +57,8 @@ def test_kept_rows_take_less_room_than_a_checkpoint(spark):
     middle = sizes(folder)
     cut(lines)
     assert 4 * (middle - before) < sizes(folder) - middle
+
+
+def test_merged_evidence_leaves_notes_alone(spark, monkeypatch):
+    monkeypatch.setattr(notes, "note_facts", None)
+    assert driver_queries.merged_evidence(spark, SF).count() > 0
