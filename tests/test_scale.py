@@ -48,6 +48,22 @@ def test_search_reads_the_bill_once(spark):
     assert [tuple(r) for r in found.collect()] == [("2001:S1", "2001", "reused", "2000:S0")]
 
 
+def test_lines_learn_of_few_keys_where_they_lie(spark):
+    rows = [
+        (1, "l1", "K", "door"), (2, "l2", "K", "door left"), (3, "l3", "R", "wall"), (4, "l4", "R", "roof"),
+        (5, "l5", "R", ""), (6, "l6", "R", ""), (7, "l7", "R", "wall"), (8, "l8", "", "x"),
+    ]
+    lines = spark.createDataFrame(rows, "row_number long, line_id string, child_id string, designation string").selectExpr("*", "'m' AS unit", "'s' AS supplier", "1.0D AS cost")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = resolve.canonical_lines(lines, cut(resolve.groups(lines)))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r["row_number"]: r["component_id"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {1: "K", 2: "K", 3: "R#4", 7: "R#4", 4: "R#3", 5: "R#1", 6: "R#2"}
+
+
 def test_kept_rows_take_less_room_than_a_checkpoint(spark):
     lines = spark.range(100_000).selectExpr("id", "concat('SA-', id % 900) AS ref", "'maker' AS supplier", "1.0D AS cost").coalesce(1)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
