@@ -359,13 +359,15 @@ def near_classes(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, mar
         return rows.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "turn", "rep").drop("turn")
 
     def links(rows: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-        """From rows (key, block, rep, label)."""
+        """From rows (key, block, rep, label); a text is fetched once, then dealt to its places."""
+        rows = rows.groupBy("rep").agg(F.first("label").alias("label"), F.collect_list(F.struct("key", "block")).alias("places"))
         rows = rows.join(known.select("rep", "doc_id", "content", "d1", "d2", "signature"), "rep").withColumn("turn", turn)
         rows = rows.join(texts.select("doc_id", "content", "text"), ["doc_id", "content"]).drop("doc_id", "content")
         return cut(met(rows).mapInArrow(_whole(_compare(similar, margin)), "a long, b long").distinct())
 
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     buckets = reps.select("rep", "weight", F.explode("bands").alias("key"))
+        rows = rows.select("*", F.inline("places")).drop("places")
     chosen = cut(_blocks(buckets))
     leads = (F.col("blocks") > 1) & (F.shiftrightunsigned(turn, 1) / float(1 << 63) < LEADERS / F.col("n"))
     block = F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block")
@@ -391,10 +393,12 @@ def near_classes(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, mar
     asked = F.transform(F.sequence(F.lit(0), F.col("rounds") - 1), lambda q: own * F.col("rounds") + q)
     mine = F.pmod(F.xxhash64(F.lit(4), "rep"), F.col("rounds")).cast("int")
     asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda p: p * F.col("rounds") + mine)
-    rows = inside.select("key", "rep", "label", F.explode(asked).alias("block"), F.lit(False).alias("asks"))
-    rows = rows.unionByName(inside.where("asks").select("key", "rep", "label", F.explode(asking).alias("block"), F.lit(True).alias("asks")))
+    rows = inside.groupBy("rep").agg(F.first("label").alias("label"), F.collect_list(F.struct("key", "blocks", "rounds", "asks")).alias("places"))
     known = reps.join(_few(inside.select("rep").distinct()), "rep", "left_semi")
-    rows = met(rows.join(known.select("rep", "signature"), "rep").withColumn("turn", turn))
+    rows = rows.join(known.select("rep", "signature"), "rep").withColumn("turn", turn).select("rep", "label", "signature", "turn", F.inline("places"))
+    spots = F.transform(asked, lambda b: F.struct(b.cast("int").alias("block"), F.lit(False).alias("asks")))
+    both = F.concat(spots, F.transform(asking, lambda b: F.struct(b.cast("int").alias("block"), F.lit(True).alias("asks"))))
+    rows = met(rows.select("key", "rep", "label", "signature", "turn", F.inline(F.when(F.col("asks"), both).otherwise(spots))))
     alike = cut(rows.mapInArrow(_whole(_propose(similar - margin)), "key long, block int, rep long, label long"))
     known = reps.join(_few(alike.select("rep").distinct()), "rep", "left_semi")
     texts = docs.join(_few(known.select("doc_id", "content")), ["doc_id", "content"], "left_semi")
