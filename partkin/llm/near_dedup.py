@@ -44,6 +44,8 @@ BLOCK_UNITS = 1_000_000
 LEADERS = 16
 #: Rows of two or three numbers that are broadcast at most (large buckets, texts to fetch again); more are joined.
 FEW = 50_000
+#: Links, about, that a task joins to classes.
+PART = 200_000
 
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -318,12 +320,14 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
     of n links needs about log n rounds. All of it is joins and aggregates; nothing is collected.
     """
     edges = cut(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct())
-    labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
+    parts = 1 + edges.count() // PART  # a file for each task: few edges make few
+    edges = edges.coalesce(parts)
+    labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).coalesce(parts))
     for _ in range(rounds):
         near = edges.join(labels.select(F.col("u").alias("v"), F.col("l").alias("m")), "v").groupBy("u").agg(F.min("m").alias("m"))
         lower = labels.join(near, "u").select("u", F.least("l", "m").alias("n"), "l")
         jump = labels.select(F.col("u").alias("n"), F.col("l").alias("far"))
-        new = cut(lower.join(jump, "n", "left").select("u", F.least("n", F.coalesce("far", "n")).alias("l"), (F.least("n", F.coalesce("far", "n")) != F.col("l")).alias("moved")))
+        new = cut(lower.join(jump, "n", "left").select("u", F.least("n", F.coalesce("far", "n")).alias("l"), (F.least("n", F.coalesce("far", "n")) != F.col("l")).alias("moved")).coalesce(parts))
         labels = new.select("u", "l")
         if new.where("moved").isEmpty():
             break
@@ -363,11 +367,11 @@ def near_classes(reps: DataFrame, docs: DataFrame, similar: float = SIMILAR, mar
         rows = rows.groupBy("rep").agg(F.first("label").alias("label"), F.collect_list(F.struct("key", "block")).alias("places"))
         rows = rows.join(known.select("rep", "doc_id", "content", "d1", "d2", "signature"), "rep").withColumn("turn", turn)
         rows = rows.join(texts.select("doc_id", "content", "text"), ["doc_id", "content"]).drop("doc_id", "content")
+        rows = rows.select("*", F.inline("places")).drop("places")
         return cut(met(rows).mapInArrow(_whole(_compare(similar, margin)), "a long, b long").distinct())
 
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     buckets = reps.select("rep", "weight", F.explode("bands").alias("key"))
-        rows = rows.select("*", F.inline("places")).drop("places")
     chosen = cut(_blocks(buckets))
     leads = (F.col("blocks") > 1) & (F.shiftrightunsigned(turn, 1) / float(1 << 63) < LEADERS / F.col("n"))
     block = F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block")

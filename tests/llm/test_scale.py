@@ -18,3 +18,14 @@ def test_a_text_is_joined_once_however_many_buckets_it_shares(spark, monkeypatch
     assert {(r["class_id"], r["class_size"]) for r in got} == {(0, 30)}
     met = [p for p in plans if "Arrow" in p and "signature" in p and "Join" in p]
     assert met and all("Generate inline" in p and p.index("Generate inline") < p.index("Join") for p in met)
+
+
+def test_few_links_make_few_files(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (8, 9)], "a long, b long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would join small partitions, unless a session forbids it
+    try:
+        got = near_dedup.connected(links)
+        assert got.rdd.getNumPartitions() == 1
+        assert {r["id"]: r["class_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
