@@ -78,3 +78,34 @@ def test_kept_rows_take_less_room_than_a_checkpoint(spark):
 def test_merged_evidence_leaves_notes_alone(spark, monkeypatch):
     monkeypatch.setattr(notes, "note_facts", None)
     assert driver_queries.merged_evidence(spark, SF).count() > 0
+
+
+def test_bills_shuffle_lines_twice(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        view = driver_queries._view(spark, SF, driver_queries.BOM_VIEW)
+        plan = view._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # lines with their brands, and orders
+    assert "part.parquet" not in plan
+
+
+def test_lines_of_four_brands_are_those_of_the_sql(spark):
+    lineitem = spark.sql("SELECT * FROM VALUES (1L,1,1L,9L),(1L,2,2L,9L),(1L,3,3L,9L),(1L,4,4L,9L),(2L,1,1L,9L),(2L,2,2L,9L),(2L,3,3L,9L),(2L,4,5L,9L),"
+                         "(3L,1,1L,9L),(3L,2,2L,9L),(3L,3,3L,9L),(3L,4,6L,9L),(4L,1,7L,9L),(4L,2,2L,9L),(4L,3,3L,9L),(4L,4,4L,9L),(4L,5,NULL,9L),"
+                         "(NULL,1,1L,9L),(NULL,2,2L,9L),(NULL,3,3L,9L),(NULL,4,4L,9L),(5L,1,1L,9L),(5L,2,2L,9L),(5L,3,3L,9L),(5L,4,4L,9L) t(l_orderkey,l_linenumber,l_partkey,l_suppkey)")
+    orders = spark.sql("SELECT * FROM VALUES (1L,7L,DATE'2000-01-01','1-URGENT'),(1L,8L,DATE'2001-01-01','5-LOW'),(2L,7L,DATE'2000-01-01','1'),(3L,7L,DATE'2000-01-01','1'),(4L,7L,DATE'2000-01-01','1') t(o_orderkey,o_custkey,o_orderdate,o_orderpriority)")
+    # part 5 has the brand of part 1, part 6 none; part 7 is there twice
+    part = spark.sql("SELECT * FROM VALUES (1L,'A'),(2L,'B'),(3L,'C'),(4L,'D'),(5L,'A'),(6L,NULL),(7L,'E'),(7L,'F') t(p_partkey,p_brand)")
+    sql = driver_queries._FOUR_BRANDS.replace("FROM lineitem", "FROM {lineitem}").replace("JOIN orders", "JOIN {orders}").replace("JOIN part", "JOIN {part}")
+    columns = "l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, o_orderdate, o_orderpriority, p_brand"
+    want = spark.sql(f"SELECT {columns} {sql}", lineitem=lineitem, orders=orders, part=part).collect()
+    got = driver_queries._four_brands(lineitem, orders, part).selectExpr(*columns.split(", ")).collect()
+    assert len(got) == 4 * 2 + 5 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_lines_are_kept_without_ids_that_no_one_reads(spark):
+    d = driver_queries._cut(spark, SF, driver_queries.BOM_VIEW, "variant_id", ids=False)
+    assert "line_id" not in spark.read.parquet(*d.lines.inputFiles()).columns
+    assert d.lines.where("line_id IS NOT NULL").count() == 0
