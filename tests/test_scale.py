@@ -109,3 +109,10 @@ def test_lines_are_kept_without_ids_that_no_one_reads(spark):
     d = driver_queries._cut(spark, SF, driver_queries.BOM_VIEW, "variant_id", ids=False)
     assert "line_id" not in spark.read.parquet(*d.lines.inputFiles()).columns
     assert d.lines.where("line_id IS NOT NULL").count() == 0
+
+
+def test_flagged_parts_keeps_no_line_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(driver_queries, "kept", lambda df: seen.append(df.columns) or kept(df))
+    driver_queries.flagged_parts(spark, SF)
+    assert any("child_id" in c for c in seen) and not any("line_id" in c for c in seen)
