@@ -116,3 +116,10 @@ def test_flagged_parts_keeps_no_line_ids(spark, monkeypatch):
     monkeypatch.setattr(driver_queries, "kept", lambda df: seen.append(df.columns) or kept(df))
     driver_queries.flagged_parts(spark, SF)
     assert any("child_id" in c for c in seen) and not any("line_id" in c for c in seen)
+
+
+def test_backtest_diff_keeps_no_line_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(driver_queries, "kept", lambda df: seen.append(df.columns) or kept(df))
+    driver_queries.backtest_diff(spark, SF)
+    assert any("child_id" in c for c in seen) and not any("line_id" in c for c in seen)
