@@ -123,3 +123,10 @@ def test_backtest_diff_keeps_no_line_ids(spark, monkeypatch):
     monkeypatch.setattr(driver_queries, "kept", lambda df: seen.append(df.columns) or kept(df))
     driver_queries.backtest_diff(spark, SF)
     assert any("child_id" in c for c in seen) and not any("line_id" in c for c in seen)
+
+
+def test_scores_read_one_bill(spark, monkeypatch):
+    read, rows = [], driver_queries._four_brands
+    monkeypatch.setattr(driver_queries, "_four_brands", lambda *tables: read.append(1) or rows(*tables))
+    driver_queries.evaluate_scores(spark, SF)
+    assert read == [1]
